@@ -1,8 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against all training token windows.
 
-Word hashes are combined pairwise into window hashes (1, 2, 4, 8 words, then the window's own length), so a
-document costs a few array passes whatever the window. All windows are probed against the broadcast set in
-one code-generated stage, hits are verified word by word there, and only hits (and one row a document) move.
+Words are exploded with their positions; the hash of the window at each is probed against the broadcast set
+and verified word by word in the same code-generated stage, so only hits (and one row a document) move.
 
 Defined results: null and empty texts have no words and no hits; an item with fewer words than the window
 is one window of its own length; an item without words gives none; repeated items and repeated documents
@@ -23,64 +22,31 @@ BROADCAST_WINDOWS = 250_000
 BROADCAST_KEYS = 1_000_000
 
 
-def _joined(a: str, b: str, shift: int) -> Column:
-    """Hashes of what begins in ``a`` and goes on in ``b`` ``shift`` words later."""
-    n = F.greatest(F.size(b) - F.lit(shift), F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(shift + 1), n), lambda x, y: F.xxhash64(x, y))
-
-
-def _window_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds w{k}, the hashes of all windows of k words of ``words``, for each k; one projection a level."""
-    keep = list(df.columns)
-    df = df.withColumn("p1", F.transform("words", lambda w: F.xxhash64(w)))
-    p = 1
-    while 2 * p <= max(lengths):
-        df = df.withColumn(f"p{2 * p}", _joined(f"p{p}", f"p{p}", p))
-        p *= 2
-    for k in lengths:
-        parts = [1 << i for i in reversed(range(k.bit_length())) if k >> i & 1]
-        at, name = parts[0], f"p{parts[0]}"
-        for part in parts[1:]:
-            df = df.withColumn(f"c{k}_{at + part}", _joined(name, f"p{part}", at))
-            at, name = at + part, f"c{k}_{at + part}"
-        df = df.withColumn(f"w{k}", F.transform(name, lambda h: F.xxhash64(h, F.lit(k))))
-    return df.select(*keep, *[f"w{k}" for k in lengths])
-
-
 def benchmark_windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
     """(hash, k, win, items) of every distinct window, computed once, and the window lengths there are."""
     base = items.select(F.coalesce(col(id_col).cast("string"), F.lit("")).alias("item"), words(col(text_col)).alias("words")).where(F.size("words") > 0)
-    base = durable(base.withColumn("k", F.least(F.size("words"), F.lit(window))))
-    lengths = sorted(r.k for r in base.select("k").distinct().collect())  # at most `window` values
-    parts = [
-        _window_hashes(base.where(F.col("k") == k), [k]).select("item", "words", "k", F.posexplode(f"w{k}").alias("at", "hash")).select("hash", "k", F.slice("words", F.col("at") + 1, F.col("k")).alias("win"), "item")
-        for k in lengths
-    ]
-    if not parts:
-        return items.sparkSession.createDataFrame([], "hash bigint, k int, win array<string>, items array<string>"), []
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    return durable(rows.groupBy("hash", "k", "win").agg(F.sort_array(F.collect_set("item")).alias("items"))), lengths
+    base = base.withColumn("k", F.least(F.size("words"), F.lit(window)))
+    rows = base.select("item", "k", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("k") + 1)).alias("at")).select("item", "k", F.slice("words", F.col("at"), F.col("k")).alias("win"))
+    windows = durable(rows.groupBy("k", "win").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("hash", F.xxhash64("win")))
+    return windows, sorted(r.k for r in windows.select("k").distinct().collect())  # at most `window` values
 
 
 def window_hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """docs: key columns and ``words``. Adds n_words, at, k and items: a row per verified hit, and one with at null per document."""
+    """docs: key columns and ``words``. Adds n_words, at, k and items: a row per verified hit, and one at least per document.
+
+    Each word begins a window of each length; its hash is probed against the set and its words are compared,
+    all in one generated stage over the exploded positions. The first position stands for a document without hits.
+    """
     keys = [c for c in docs.columns if c != "words"]
-    docs = docs.withColumn("n_words", F.size("words"))
-    if not lengths:
-        return docs.select(*keys, "n_words", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("array<string>").alias("items"))
-    hashed = _window_hashes(docs, lengths)
-    every = F.concat(*[f"w{k}" for k in lengths], F.array(F.lit(None).cast("bigint")))
-    probe = hashed.select(*keys, "n_words", "words", every.alias("every")).select(*keys, "n_words", "words", F.posexplode("every").alias("p", "hash"))
-    table = windows if not small_enough(windows, BROADCAST_WINDOWS) else F.broadcast(windows)
-    start, before = F.lit(0), F.lit(0)
-    for k in lengths:
-        start = F.when(F.col("k") == k, before).otherwise(start)
-        before = before + F.greatest(F.col("n_words") - F.lit(k - 1), F.lit(0))
-    hit = probe.join(table, "hash", "left").where("hash is null or k is not null").withColumn("at", F.col("p") - start)
-    good = F.col("hash").isNull() | (F.slice("words", F.col("at") + 1, F.coalesce("k", F.lit(0))) == F.col("win"))
-    return hit.where(good).select(*keys, "n_words", F.when(F.col("hash").isNotNull(), F.col("at")).alias("at"), "k", "items")
+    at = docs.withColumn("n_words", F.size("words")).select(*keys, "n_words", "words", F.posexplode_outer("words").alias("p", "word")).drop("word")
+    at = at.withColumn("len", F.explode(F.array(*map(F.lit, lengths)))) if len(lengths) > 1 else at.withColumn("len", F.lit(lengths[0] if lengths else 1))
+    win = F.slice("words", F.col("p") + 1, F.col("len"))
+    probe = at.withColumn("h", F.when(F.col("p") + F.col("len") <= F.col("n_words"), F.xxhash64(win)))
+    table = F.broadcast(windows) if small_enough(windows, BROADCAST_WINDOWS) else windows
+    hit = probe.join(table, F.col("h") == F.col("hash"), "left")
+    same = F.coalesce((F.col("k") == F.col("len")) & (win == F.col("win")), F.lit(False))
+    out = hit.where(same | (F.coalesce("p", F.lit(0)) == 0))
+    return out.select(*keys, "n_words", F.when(same, F.col("p")).alias("at"), F.when(same, F.col("k")).alias("k"), F.when(same, F.col("items")).alias("items"))
 
 
 def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -128,7 +94,6 @@ def remove_spans(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     windows, lengths = benchmark_windows(items, window)
     hits = window_hits(docs.withColumn("text_words", F.col("words")), windows, lengths)
     by_doc = hits.groupBy("rid", "id", "text_words").agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("at").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("k") - 1))))).alias("hit"))
-    kept = F.transform(F.arrays_zip(F.col("text_words").alias("w"), F.sequence(F.lit(0), F.size("text_words"))), lambda x: x)
     kept = F.filter(F.transform("text_words", lambda w, i: F.when(~F.array_contains("hit", i), w)), lambda w: w.isNotNull())
     return by_doc.select(F.col("id").alias(id_col), F.array_join(kept, " ").alias("clean_text"))
 
