@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from .chat_format import OP8_SQL, op8_chat_format
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .language_id import op2_language_id
+from .mix_sources import OP3_SQL, op3_mix_sources
+from .near_dedup import op5_minhash_near_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op3_mix_sources": OP3_SQL,
     "op7_decontaminate": OP7_SQL,
+    "op8_chat_format": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
