@@ -2,7 +2,9 @@
 
 Each language is a zstandard raw-content dictionary: cleaned text of a bounded, documented sample of labelled
 documents. A text is cut into blocks, each block is compressed with every language's dictionary, and the
-language with the smallest total wins; whole texts are encoded, long ones block by block.
+language with the smallest total wins; whole texts are encoded, long ones block by block, with zstandard's
+optimal parser, which still finds the dictionary's phrases in a text that repeats itself. A text too short
+to be compressed at all is encoded in front of a passage of the dictionary, whose own size is taken off.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; documents with a null
 language teach nothing; equal sizes go to the language that sorts first and are rejected; without any
@@ -24,12 +26,14 @@ from pyspark.sql import types as T
 from .common import col, packed, read, unpacked
 
 #: The bounded sample: documents of a language, code points of each, cleaned bytes of a dictionary, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 256, 2_000, 131_072, 512
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 256, 2_000, 65_536, 512
 #: Bytes of a block: short enough that the dictionary and not the text's own start decides.
 BLOCK = 1_024
-LEVEL = 3
+LEVEL = 16
+#: Texts below so many bytes are encoded fast, in front of so many bytes of the dictionary.
+SHORT, SHORT_LEVEL, PAD = 200, 3, 600
 #: Relative distance of the two smallest sizes below which a text is rejected.
-MARGIN = 0.01
+MARGIN = 0.005
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 SCHEMA = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -68,28 +72,45 @@ def scores(sizes: dict[str, int], n_bytes: int) -> tuple[str, float, float]:
     return best, 1 / total, margin
 
 
-def _classify(dictionaries: dict[str, bytes], margin: float, text_col: str, apart: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Coders:
+    """Sizes of texts under each language's dictionary."""
+
+    def __init__(self, dictionaries: dict[str, bytes]) -> None:
         import zstandard as zstd
 
-        params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
-        coders = {}
+        plain = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+        fast = zstd.ZstdCompressionParameters.from_level(SHORT_LEVEL, **plain)
+        best = zstd.ZstdCompressionParameters(compression_level=LEVEL, min_match=3, strategy=zstd.STRATEGY_BTULTRA2, **plain)
+        self.of = {}
         for lang, content in dictionaries.items():
-            d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            coders[lang] = zstd.ZstdCompressor(dict_data=d, compression_params=params)
+            coders = []
+            for params in (fast, best):
+                d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=params)
+                coders.append(zstd.ZstdCompressor(dict_data=d, compression_params=params))
+            pad = b" " + content[len(content) // 2 :][:PAD]
+            self.of[lang] = (*coders, pad, len(coders[0].compress(pad)))
+
+    def sizes(self, data: bytes) -> dict[str, int]:
+        if len(data) < SHORT:
+            return {lang: max(0, len(fast.compress(data + pad)) - alone) for lang, (fast, _, pad, alone) in self.of.items()}
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        return {lang: sum(len(best.compress(b)) for b in blocks) for lang, (_, best, _, _) in self.of.items()}
+
+
+def _classify(dictionaries: dict[str, bytes], margin: float, text_col: str, apart: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders = Coders(dictionaries)
         for batch in batches:
             found = []
             texts = batch.column(1) if apart else batch.column(0).field(text_col)
             for text in texts.cast(pa.string()).to_pylist():
                 letters = clean(text) if text else ""
-                if not coders or not any(map(str.isalpha, letters)):
+                if not coders.of or not any(map(str.isalpha, letters)):
                     found.append(("und", 0.0, 0.0, True))
                     continue
                 data = letters.encode()
-                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-                sizes = {lang: sum(len(c.compress(b)) for b in blocks) for lang, c in coders.items()}
-                best, score, distance = scores(sizes, len(data))
+                best, score, distance = scores(coders.sizes(data), len(data))
                 found.append((best, score, distance, distance < margin))
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "lang_pred", "score", "margin", "rejected"])

@@ -28,8 +28,10 @@ from .common import col, durable, read
 
 #: The bounded samples of labelled documents, and the bound of the table of scores.
 TOXIC_DOCS, OTHER_DOCS, MOST_TOKENS = 2_000, 8_000, 20_000
-#: Dirichlet pseudo-count of each token, least z and how many standard errors a score is shrunk.
-PRIOR, LEAST_Z, SHRINK = 0.5, 2.58, 1.5
+#: Dirichlet pseudo-count of each token, and how many standard errors a score is shrunk.
+PRIOR, SHRINK = 0.5, 1.0
+#: Least score of a token: less telling ones count as background, so that totals drift down outside toxic passages.
+LEAST_SCORE = 2.0
 STEM = 5
 #: Expected count of equally good segments below which a segment is significant.
 SIGNIFICANT = 0.1
@@ -121,9 +123,13 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     t1, t0 = counts.where("token not like '%*'").agg(F.coalesce(F.sum("y1"), F.lit(0)), F.coalesce(F.sum("y0"), F.lit(0))).first()
     odds = lambda y, t: F.log((F.col(y) + PRIOR) / (F.lit(float(t) + 1) - F.col(y)))
     delta, sigma = odds("y1", t1) - odds("y0", t0), F.sqrt(1 / (F.col("y1") + PRIOR) + 1 / (F.col("y0") + PRIOR))
-    told = counts.where("y1 >= 3").select("token", "y1", delta.alias("d"), sigma.alias("e")).where(F.col("d") / F.col("e") >= LEAST_Z)
+    # the deviance of a token's split between the two kinds has to exceed what the largest of all tested tokens has by chance
+    tested = counts.where("y1 >= 3").select("token", "y1", "y0", delta.alias("d"), sigma.alias("e"))
+    least, share = math.log(max(2, tested.count())), t1 / max(1, t1 + t0)
+    part = lambda y, p: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / ((F.col("y1") + F.col("y0")) * F.lit(p)))).otherwise(0.0)
+    told = tested.where((F.col("d") - SHRINK * F.col("e") >= LEAST_SCORE) & (part("y1", share) + part("y0", 1 - share) >= least))
     top = told.orderBy((F.col("d") / F.col("e")).desc(), "token").limit(MOST_TOKENS).collect()
-    table = {r.token: s for r in top if (s := r.d - SHRINK * r.e) > 0}
+    table = {r.token: s for r in top if (s := r.d - SHRINK * r.e) >= LEAST_SCORE}
     share = sum(r.y1 for r in top if r.token in table and not r.token.endswith("*")) / max(1, t1)
     model = Model(table, math.log1p(-min(0.2, max(0.005, share))), 1e-3, prior)
     # K: how often the documents that aren't toxic hold a segment of at least a score, over what the law has for K = 1
