@@ -132,11 +132,11 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     table = {r.token: s for r in top if (s := r.d - SHRINK * r.e) >= LEAST_SCORE}
     share = sum(r.y1 for r in top if r.token in table and not r.token.endswith("*")) / max(1, t1)
     model = Model(table, math.log1p(-min(0.2, max(0.005, share))), 1e-3, prior)
-    # K: how often the documents that aren't toxic hold a segment of at least a score, over what the law has for K = 1
-    at = 1.0
-    seen = scan(taught.where("toxic = 0").select(F.lit(0).alias("id"), "text"), model, "id", "text").select("n_tokens", F.expr(f"size(filter(segments, x -> x.score >= {at}))").alias("m"))
-    n, m = seen.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    model.k = max(1e-6, (m + 0.5) * math.exp(at) / max(1, n))
+    # K: the least with which the law covers what the documents that aren't toxic hold at every level of scores
+    levels = range(1, 7)
+    seen = scan(taught.where("toxic = 0").select(F.lit(0).alias("id"), "text"), model, "id", "text")
+    row = seen.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(F.expr(f"size(filter(segments, x -> x.score >= {x}))")), F.lit(0)).alias(f"m{x}") for x in levels]).first()
+    model.k = max((row[f"m{x}"] + 0.5) * math.exp(x) / max(1, row["n"]) for x in levels)
     return model
 
 
