@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: what a lambda takes from outside is computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -20,5 +27,4 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, strip_ws, words
+from ..functions.vectors import let
 
 CHUNK_SIZE, OVERLAP, SENTENCE_WORDS = 300, 50, 300
 
@@ -18,11 +19,15 @@ def check_sizes(chunk_size: int, overlap: int) -> None:
 def word_chunks(text: Column, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
     """Windows of ``chunk_size`` words, each ``chunk_size - overlap`` after the last, up to the first that reaches the end; none of blank text."""
     check_sizes(chunk_size, overlap)
-    w, stride = words(text), chunk_size - overlap
-    n = F.size(w)
-    last = F.greatest(F.lit(0), F.ceil((n - chunk_size) / stride)).cast("int")
-    starts = F.filter(F.sequence(F.lit(0), last), lambda i: i * stride < n)
-    return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i * stride + 1, F.lit(chunk_size)), " "))).otherwise(F.array().cast("array<string>"))
+    stride = chunk_size - overlap
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        last = F.greatest(F.lit(0), F.ceil((n - chunk_size) / stride)).cast("int")
+        starts = F.filter(F.sequence(F.lit(0), last), lambda i: i * stride < n)
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i * stride + 1, F.lit(chunk_size)), " "))
+
+    return let(F.coalesce(words(text), F.array().cast("array<string>")), windows)
 
 
 def sentences(text: Column) -> Column:
@@ -55,7 +60,8 @@ def chunk_id(*parts: Column) -> Column:
 def explode_chunks(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
     """A row per chunk with its metadata: chunk_id, position, word_count, char_count; ``docs``' other columns stay, text is the chunk's."""
     keep = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*keep, F.posexplode(chunks).alias("position", "text"))
+    # outer: else Spark infers a filter on the number of chunks that makes them once more
+    rows = docs.select(*keep, F.posexplode_outer(chunks).alias("position", "text")).where("position is not null")
     return rows.withColumns({"chunk_id": chunk_id(F.col(id_col), F.col("position")), "word_count": F.size(words(F.col("text"))), "char_count": F.length("text")})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, words
-from ..functions.vectors import normalize
+from ..functions.vectors import let, normalize
 
 
 class Embedder(Protocol):
@@ -27,17 +27,9 @@ def zeros(dimension: int) -> Column:
 
 def hash_vector(text: Column, dimension: int) -> Column:
     """Word counts in ``dimension`` buckets of the words' md5, normalised; zeros for blank text."""
-    bucket = F.transform(words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int"))
-    counts = F.aggregate(
-        F.array_sort(bucket),
-        F.struct(F.array().cast("array<int>").alias("b"), F.array().cast("array<int>").alias("n")),
-        lambda s, x: F.when(
-            F.try_element_at(s["b"], F.lit(-1)) == x, F.struct(s["b"].alias("b"), F.concat(F.slice(s["n"], F.lit(1), F.size(s["n"]) - 1), F.array(F.element_at(s["n"], -1) + 1)).alias("n"))
-        ).otherwise(F.struct(F.concat(s["b"], F.array(x)).alias("b"), F.concat(s["n"], F.array(F.lit(1))).alias("n"))),
-    )
-    table = F.map_from_arrays(counts["b"], counts["n"])
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at(table, i), F.lit(0)).cast("double"))
-    return F.when(is_blank(text), zeros(dimension)).otherwise(normalize(dense).cast("array<float>"))
+    buckets = F.transform(words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int"))
+    counts = let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    return F.when(is_blank(text), zeros(dimension)).otherwise(let(counts, normalize).cast("array<float>"))
 
 
 class HashEmbedder:
