@@ -23,14 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, durable, packed, read
+from .common import col, durable, read
 
 #: Halvings of the exponent's interval, and how many of them a round settles.
 HALVINGS, A_ROUND = 28, 4
 #: Sources (about 60 bytes each) that are broadcast; beyond it the weights go to salted copies of their key.
 BROADCAST_SOURCES, SALT = 50_000, 64
-#: Documents of the largest source in a bucket, about.
-BUCKET_ROWS = 16_384
 
 
 def n_tokens(text: Column) -> Column:
@@ -107,7 +105,8 @@ def mix_sources(
     else:
         salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         rows = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salted, ["source", "salt"]).drop("salt")
-    bits = max(0, math.ceil(math.log2(max(1, most / BUCKET_ROWS))))
+    # as many buckets of the largest source as a bucket has documents: both windows grow as the root of its size
+    bits = math.ceil(math.log2(max(1, most)) / 2)
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pass").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
     copies = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))).withColumn("key", key).withColumn("bucket", F.shiftright("key", 60 - bits))
     bucket = ["source", "pass", "bucket"]
