@@ -161,14 +161,14 @@ class Inference:
             client = None
             for frame in batches:
                 for at in range(0, len(frame), batch):
-                    asked = list(frame["_prompt"][at : at + batch])
+                    asked = list(frame["_asked_prompt"][at : at + batch])
                     client = client or (me.client() if asked else None)
                     rows = [with_retry(lambda p=p: me.generate_one(p, max_tokens, temperature, client), max_retries, backoff) for p in asked]
-                    yield pd.DataFrame({"_prompt": asked, **{c: [r[c] for r in rows] for c in ("response", "model", "tokens_used", "latency_ms", "provider")}})
+                    yield pd.DataFrame({"_asked_prompt": asked, **{c: [r[c] for r in rows] for c in ("response", "model", "tokens_used", "latency_ms", "provider")}})
 
-        distinct = prompts.select(F.col(prompt).alias("_prompt")).distinct()
-        answers = distinct.mapInPandas(run, f"_prompt string, {RESULT}")
-        return prompts.join(answers, F.col(prompt).eqNullSafe(F.col("_prompt"))).drop("_prompt")
+        distinct = prompts.select(F.col(prompt).alias("_asked_prompt")).distinct()
+        answers = distinct.mapInPandas(run, f"_asked_prompt string, {RESULT}")
+        return prompts.join(answers, F.col(prompt).eqNullSafe(F.col("_asked_prompt"))).drop("_asked_prompt")
 
 
 def available(prefer_local: bool = True) -> Inference:
