@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import col, packed, read, unpacked
 
 #: The bounded sample: documents of a language, code points of each, cleaned bytes of a dictionary, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 256, 2_000, 65_536, 512
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 256, 2_000, 65_536, 128
 #: Bytes of a block: short enough that the dictionary and not the text's own start decides.
 BLOCK = 1_024
 LEVEL = 16
@@ -45,15 +45,23 @@ def clean(text: str) -> str:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary per language from the ``SAMPLE_DOCS`` documents whose id hashes lowest (a bounded sample; its size doesn't follow the input)."""
+    """A dictionary per language from the ``SAMPLE_DOCS`` documents whose id hashes lowest (a bounded sample; its size doesn't follow the input).
+
+    Languages are counted first; of each only documents whose hash is in a share of about four samples are
+    ranked, so what moves is bounded too.
+    """
     rows = labelled.where(col(lang_col).isNotNull() & (F.length(F.trim(col(text_col))) > 0)).select(col(lang_col).cast("string").alias("lang"), F.substring(col(text_col), 1, SAMPLE_CHARS).alias("text"), F.xxhash64(col(id_col).cast("string")).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES).collect()
+    if len(counts) >= MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES - 1} languages")
+    if not counts:
+        return {}
+    cuts = [(r.lang, int(-(1 << 63) + min(1.0, 4 * SAMPLE_DOCS / r.n) * ((1 << 64) - 2048))) for r in counts]
+    low = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(cuts, "lang string, cut bigint")), "lang").where("h <= cut")
     order = W.partitionBy("lang").orderBy("h", "text")
-    taken = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_DOCS).limit(SAMPLE_DOCS * MAX_LANGUAGES)
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in taken.collect():
+    for r in low.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_DOCS).collect():
         texts.setdefault(r.lang, []).append((r.rn, r.text))
-    if len(texts) >= MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES - 1} languages")
     out = {}
     for lang in sorted(texts):
         joined = " ".join(t for _, x in sorted(texts[lang]) if (t := clean(x))).encode()
