@@ -27,8 +27,11 @@ def zeros(dimension: int) -> Column:
 
 def hash_vector(text: Column, dimension: int) -> Column:
     """Word counts in ``dimension`` buckets of the words' md5, normalised; zeros for blank text."""
-    buckets = F.transform(words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int"))
-    counts = let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    mark = lambda bucket: F.concat(F.lit("<"), bucket.cast("string"), F.lit(">"))
+    marks = F.array_join(F.transform(words(F.lower(text)), lambda w: mark(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension)), "")
+    # a bucket's count from the length of the marks without it: byte scans instead of a lambda call per word and bucket
+    count = lambda all_marks, i: (F.length(all_marks) - F.length(F.replace(all_marks, mark(i), F.lit("")))) / F.length(mark(i))
+    counts = let(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: count(m, i)))
     return F.when(is_blank(text), zeros(dimension)).otherwise(let(counts, normalize).cast("array<float>"))
 
 

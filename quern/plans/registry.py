@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores (one small file, say) dealt to all of them; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 _SET = r"list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda w: w <> '')))"
 
@@ -153,7 +159,7 @@ with w as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '\s
 ), b as (select doc_id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int as "at", count(*)::double as n from w group by 1, 2)
 select doc_id, "at", round((n / sqrt(sum(n * n) over (partition by doc_id)))::float::double, 5) as value from b""")
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    vectors = HashEmbedder(64).embed(table(spark, d, "documents").select("doc_id", "text"))
+    vectors = HashEmbedder(64).embed(spread(table(spark, d, "documents").select("doc_id", "text")))
     return vectors.select("doc_id", F.posexplode_outer("embedding").alias("at", "value")).where("value <> 0").select("doc_id", "at", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
@@ -429,7 +435,7 @@ def generate_extractive(spark: SparkSession, d: str) -> DataFrame:
 def query_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     """Documents to chunks to vectors; every benchmark text as a question: its five nearest chunks, a packed prompt, an answer."""
     embedder = HashEmbedder(64)
-    docs = table(spark, d, "documents").select("doc_id", "text", "source", F.lit("text").alias("file_type"), F.lit("txt").alias("extension"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source")).withColumns({"file_type": F.lit("text"), "extension": F.lit("txt")})
     memory = Memory(spark, 64, "cosine").add(embedder.embed(chunk_by_words(docs, 200, 50)))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vectors = embedder.embed(asked).select("query_id", F.col("embedding").alias("qvec"))
