@@ -2,10 +2,13 @@
 
 A text's k-mers are its shingles of five words, labelled with their occurrence. Each of ``FUNCTIONS`` hash
 functions picks the ``TUPLE`` smallest and keeps them in text order; texts with an equal tuple are candidates.
-Texts with the same words are one node. In a bucket every member is paired with the smallest and the largest
-id there, never with all others. Pairs are verified by a banded alignment of their shingle sequences:
-similarity = L / (na + nb - L) with L the longest common subsequence, which is the shingles' Jaccard
-similarity where order is kept. Verified links make classes (alternating star contraction).
+Texts with the same words are one node. In a bucket every member is first paired with the smallest and the
+largest id there. Pairs are verified by a banded alignment of their shingle sequences: similarity = L / (na + nb
+- L) with L the longest common subsequence, which is the shingles' Jaccard similarity where order is kept.
+Verified links make classes (alternating star contraction). Where a bucket's other members are then not all of
+one class (unrelated texts with a shared passage), those members are compared by an exact prefix-filter join:
+every pair of them from different classes that can reach the threshold is verified too, so no pair of a bucket
+is left out.
 
 Chance that a pair at the threshold of 0.8 shares no tuple: 0.59^24, about 3 in a million; short texts (up
 to ``SHORT`` shingles) also get tuples of two.
@@ -34,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, TUPLE, SHORT_TUPLE, SHORT = 24, 4, 2, 20
 #: Ids (8 bytes each) that are broadcast to pick texts for verification or to drop rows; beyond it, shuffled joins.
 BROADCAST_IDS = 1_000_000
+#: Cells that shingles are counted in to order them by rarity; any order gives the same pairs.
+CELL_BITS = 18
 #: Bytes of text that are tokenised at once.
 SLICE_BYTES = 1 << 19
 
@@ -270,6 +275,85 @@ def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a bigint, b bigint, similarity double")
 
 
+def open_members(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of all nodes that lie between the ends of a bucket beside one of another class: what ``candidate_pairs`` left uncompared is among them."""
+    rooted = nodes.join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"), F.explode(F.array_distinct("sketch")).alias("key"))
+    several = F.min("root") < F.max("root")
+    mixed = durable(rooted.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m"), several.alias("several")).where("several and m > 3").select("key", "lo", "hi"))
+    side = F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed
+    inner = durable(rooted.join(side, "key").where("id > lo and id < hi").select("key", "id", "root"))
+    still = inner.groupBy("key").agg(several.alias("several")).where("several").select("key")
+    return inner.join(still, "key", "left_semi").select("id", "root").distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, total = Tokens(), np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        found = [_labelled(shingles(words)) >> np.uint64(64 - CELL_BITS) for words in _word_lists(batch.column("text"), tokens)]
+        total += np.bincount(np.concatenate([np.empty(0, np.int64), *[c.astype(np.int64) for c in found]]), minlength=len(total))
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+
+def _prefixes(counts: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            rare, lengths, shorter = [np.empty(0, np.uint64)], [], []
+            for words in _word_lists(batch.column("text"), tokens):
+                x = _labelled(shingles(words))
+                n = len(x)
+                taken = n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+                order = np.lexsort((x, counts[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:taken]
+                rare.append(x[order])
+                lengths.append((n, len(order)))
+                shorter.append(n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1)
+            held = np.array([k for _, k in lengths], np.int64)
+            rows = np.repeat(np.arange(len(held)), held)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(held) - held, held)
+            n = np.array([n for n, _ in lengths], np.int64)[rows]
+            short = at < np.array(shorter, np.int64)[rows]
+            columns = [pa.array(np.concatenate(rare).view(np.int64), pa.int64()), batch.column("id").take(pa.array(rows)), batch.column("root").take(pa.array(rows)), pa.array(n), pa.array(at), pa.array(short)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "id", "root", "n", "at", "short"])
+
+    return run
+
+
+def exact_pairs(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+    """members: (id, root), computed. Distinct pairs a < b of different roots, among them all whose similarity reaches ``least``.
+
+    Prefix filter: shingles are ordered by rarity. Of two texts that reach ``least`` the longer one's first
+    n - least * n + 1 and the shorter one's first n - 2 * least / (1 + least) * n + 1 have one in common, and at
+    the first common one enough shingles are left on both sides. Texts of one root never meet.
+    """
+    side = F.broadcast(members) if small_enough(members, BROADCAST_IDS) else members
+    texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).join(side, "id")
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for r in texts.select("text").mapInArrow(_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        counts[r.column("cell").to_numpy()] = r.column("n").to_numpy()
+    entries = durable(texts.select("id", "root", "text").mapInArrow(_prefixes(counts, least), "shingle bigint, id bigint, root bigint, n bigint, at bigint, short boolean"))
+    shared = entries.groupBy("shingle").agg((F.min("root") < F.max("root")).alias("several"), F.max("short").alias("short")).where("several and short").select("shingle")
+    sets = entries.join(shared, "shingle", "left_semi").groupBy("shingle", "root").agg(F.collect_list(F.struct("n", "id", "at", "short")).alias("members"))
+    one = sets.select("shingle", F.col("root").alias("root_x"), F.explode(F.filter("members", lambda m: m.short)).alias("x"))
+    needed = lambda y: F.ceil((F.col("x.n") + y.n) * F.lit(least / (1 + least)) - F.lit(1e-9))
+    longer = lambda y: (F.struct(y.n, y.id) > F.struct("x.n", "x.id")) & (F.least(F.col("x.n") - F.col("x.at"), y.n - y["at"]) >= needed(y))
+    met = one.join(sets, "shingle").where("root != root_x").select("x", F.explode(F.filter("members", longer)).alias("y"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _roots(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """nodes: (id, n, sketch). (node, root) of every linked node."""
+    pairs = durable(candidate_pairs(nodes))
+    roots = durable(components(durable(verified_links(pairs, df, id_col, text_col))))
+    members = durable(open_members(nodes, roots))
+    if members.isEmpty():
+        return roots
+    links = durable(verified_links(durable(exact_pairs(members, df, id_col, text_col)), df, id_col, text_col))
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b")))
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, rid, class_id, kept) per row, computed once."""
     docs = df.select(col(id_col).cast("bigint").alias("id"), _text_key(text_col).alias("text_key"), F.monotonically_increasing_id().alias("rid"), col(text_col).cast("string").alias("text"))
@@ -277,9 +361,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wordy = base.where("words_key is not null")
     node = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
     nodes = durable(wordy.groupBy("words_key").agg(node, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("words_key", F.col("first.id").alias("node"), F.col("first.rid").alias("first_rid"), "n", "sketch"))
-    pairs = durable(candidate_pairs(nodes.where("node is not null").select(F.col("node").alias("id"), "n", "sketch")))
-    links = durable(verified_links(pairs, df, id_col, text_col))
-    roots = components(links).withColumnRenamed("node", "linked")
+    roots = _roots(nodes.where("node is not null").select(F.col("node").alias("id"), "n", "sketch"), df, id_col, text_col).withColumnRenamed("node", "linked")
     classes = durable(nodes.join(roots, F.col("node") == F.col("linked"), "left").select("words_key", "node", "first_rid", F.coalesce("root", "node").alias("class_id")))
     grouped = wordy.join(classes, "words_key").select("id", "text_key", "rid", "class_id", (F.col("node").eqNullSafe(F.col("class_id")) & (F.col("rid") == F.col("first_rid"))).alias("kept"))
     return grouped.unionByName(base.where("words_key is null").select("id", "text_key", "rid", F.col("id").alias("class_id"), F.lit(True).alias("kept")))

@@ -118,3 +118,28 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(12)] + [(100, 101), (102, 101)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert roots == {**{i: 0 for i in range(1, 13)}, 101: 100, 102: 100}
+
+
+def test_pairs_in_a_family_of_unrelated_texts_with_a_shared_part(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(300)]
+    texts = [" ".join(shared + [word() for _ in range(rng.randint(42, 50))]) for _ in range(150)]
+    for i in range(0, 100, 2):  # the second of a pair keeps most of the first one's own part
+        w = texts[i].split()
+        own = w[300:]
+        n = rng.randint(24, 34)
+        texts[i + 1] = " ".join(w[:300] + own[:-n] + [word() for _ in range(n)])
+    order = list(range(150))
+    rng.shuffle(order)
+    rows = [(i, texts[k], "c", 0) for i, k in enumerate(order)]
+    seqs = [shingles(w) for w in _word_lists(pa.array([r[1] for r in rows]), Tokens())]
+    want = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if similarity(seqs[i], seqs[j]) >= SIMILARITY:
+                a, b = want[i], want[j]
+                want = [min(a, b) if x in (a, b) else x for x in want]
+    assert sum(want[i] != i for i in range(150)) == 50
+    found = near_duplicate_classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in found} == dict(enumerate(want))
