@@ -1,7 +1,7 @@
 """Secret scans: patterns find candidates, a random forest removes false positives.
 
 Candidates are values given to a telling name, key blocks, and unbroken runs of at least 16 key characters with
-a digit. Features of a candidate are its length, its character classes and their transitions, its entropy,
+a digit, each in its whole length. Features of a candidate are its length, its character classes and their transitions, its entropy,
 how much of it dictionary words cover, what its path says, and the words before and after it. The forest (Spark's
 own) is trained from labelled findings: the caller's, or generated ones of bounded number. Everything is
 DataFrame and SQL functions; texts don't move.
@@ -31,12 +31,14 @@ SECRET_AT = 0.5
 
 # Names that announce a secret, known key forms, words that fill placeholders, words near harmless values.
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?"
+# a key block up to its END line; of one without it, the lines of its body. Possessive throughout: no length is too much
+BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{32,}+)*+)"
 CANDIDATE = (
-    rf"(?i:(?:{NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(?=[^\s\"'<>]{{8}})[^\s\"'<>]{{8,300}})"
-    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,300}[0-9])[A-Za-z0-9+/_=-]{16,300}"
+    rf"(?i:(?:{NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(?=[^\s\"'<>]{{8}})(?:(?-i:{BLOCK})|[^\s\"'<>]{{8,}}+))"
+    rf"|{BLOCK}"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 )
-NAMED = rf"(?i)^(?:{NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(.*)$"
+NAMED = rf"(?is)^(?:{NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(.*)$"
 KNOWN = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk_(?:live|test)_|^AIza[A-Za-z0-9_-]{35}|^eyJ[A-Za-z0-9_-]+|^glpat-|^-----BEGIN"
 DICTIONARY = "example sample dummy changeme change placeholder insert replace your here secret password token value user name test demo none null true false http https www com org net the and for with from that this version index image data file path page item list node type key default config public static class function return string number".split()
 HARMLESS = r"(?i)\b(?:sha|sha1|sha256|md5|commit|checksum|digest|hash|uuid|guid|revision|version|build|invoice|order|card|phone|tel|isbn|serial|example|sample|dummy|placeholder|fixture)\b"
@@ -110,6 +112,9 @@ def generated_findings(spark: SparkSession, n: int = GENERATED) -> DataFrame:
     pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
     hexes = lambda salt, m: F.substring(F.sha2(F.concat(F.lit(salt), i.cast("string")).cast("binary"), 512), 1, m)
     b64 = lambda salt, m: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(salt, 128))), "[+/=]", "x"), 1, m)
+    long = F.concat(*[b64(f"l{k}", 86) for k in range(13)])
+    lines = F.array_join(F.array(*[b64(f"b{k}", 64) for k in range(12)]), "\n")
+    signed = F.concat(F.lit("eyJ"), F.substring(b64("e", 60), 1, 20), F.lit("."))
     upper = lambda salt, m: F.substring(F.regexp_replace(F.upper(F.base64(F.unhex(hexes(salt, 128)))), "[+/=0189]", "K"), 1, m)
     word = lambda salt: pick(salt, "the", "reading", "where", "value", "river", "open", "of", "and", "table", "nation", "ering", "schaft", "mente", "eaux")
     plain = F.concat_ws(" ", word("a"), word("b"), word("c"), F.lit(""))
@@ -128,7 +133,9 @@ def generated_findings(spark: SparkSession, n: int = GENERATED) -> DataFrame:
         (1, F.concat(F.lit("ghp_"), b64("g", 36)), False, plain),
         (1, F.concat(F.lit("sk_live_"), b64("s", 24)), False, given),
         (1, F.concat(F.lit("eyJ"), b64("j", 60)), False, F.concat(plain, F.lit("bearer "))),
-        (1, F.lit("-----BEGIN RSA PRIVATE KEY-----"), False, plain),
+        (1, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), lines, F.lit("\n-----END RSA PRIVATE KEY-----")), False, plain),
+        (1, F.substring(long, 1, 342), False, F.concat(plain, F.lit("bearer "), signed)),
+        (1, F.substring(long, 1, 300 + F.pmod(i, F.lit(9)) * 100), True, given),
         (0, hexes("c", 40), False, harmless),
         (0, hexes("m", 32), False, harmless),
         (0, hexes("y", 64), False, plain),
