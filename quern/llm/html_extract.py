@@ -7,7 +7,9 @@ vectors have equal fingerprints and everything aggregates map-side. Classes with
 valid; nested by path they are the host's template. What a page has besides template tokens fills the
 template's slots: slots in boilerplate elements are dropped, the article's slots are its text.
 
-Tokens kept of a host appear on a fifth of its pages at least, so a template's size is bounded by what five
+Pages of a host with the same text outside boilerplate count once, so an article's copies don't make it a template.
+
+Tokens kept of a host appear on a fifth of its different pages at least, so a template's size is bounded by what five
 pages hold, whatever the number of pages.
 
 Defined results: null or empty html gives the empty text; pages cut off anywhere keep their text up to there; a
@@ -200,6 +202,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "token", "page", "n", "around"])
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_key("", "\n".join(text for text, e, _, what in blocks(html or "") if what == "text" and not e.boilerplate)) for html in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("host"), pa.array(keys, pa.int64())], names=["page", "host", "content"])
+
+
 def host_of(url):
     """The url's host and port, lower-cased; '' if it has none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
@@ -211,9 +219,16 @@ def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     A token is nested if the element around it is the page itself or a template token too.
     """
     rows = pages.select(F.xxhash64(F.monotonically_increasing_id(), col(id_col)).alias("page"), host_of(col(url_col)).alias("host"), col(html_col).cast("string").alias("html"))
-    tokens = rows.mapInArrow(_tokens, "host string, token bigint, page bigint, n int, around bigint")
+    # a page of each content; the others are its copies
+    contents = durable(rows.mapInArrow(_contents, "page bigint, host string, content bigint"))
+    single = F.min("page").alias("page")
+    kept = durable(contents.groupBy("host", "content").agg(single, F.count("*").alias("n")))
+    copies = contents.join(kept.where("n > 1").select("host", "content", F.col("page").alias("kept")), ["host", "content"]).where("page != kept").select("page")
+    copies = durable(copies)
+    side = F.broadcast(copies) if copies.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else copies
+    tokens = rows.join(side, "page", "left_anti").mapInArrow(_tokens, "host string, token bigint, page bigint, n int, around bigint")
     vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("around").alias("around")).where(F.col("pages") >= MIN_PAGES)
-    sizes = pages.groupBy(host_of(col(url_col)).alias("host")).agg(F.count("*").alias("all"))
+    sizes = kept.groupBy("host").agg(F.count("*").alias("all"))
     often = durable(vectors.join(sizes, "host").where(F.col("pages") >= F.col("all") * MIN_SHARE))
     whole = often.select("host", F.lit(_key("", "")).alias("around")).distinct()
     nested = often.join(often.select("host", F.col("token").alias("around")).unionByName(whole), ["host", "around"], "left_semi")

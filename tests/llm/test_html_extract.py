@@ -51,3 +51,13 @@ def test_long_and_empty(spark):
     r = extract(spark.createDataFrame([(1, "http://c/", long)], schema)).first()
     assert r.text == "\n".join(["word & more"] * 20_000) and r.n_chars == len(r.text)
     assert extract(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    page = lambda *paragraphs: f"<html><body><div class='top'><p>Welcome here</p></div><div class='x'>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div><div class='end'><p>All rights reserved</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page(f"Story {i} begins", f"Story {i} ends")) for i in range(8)]
+    rows += [(i, f"http://a.example/{i}", page("The copied story", "goes on and on")) for i in range(8, 12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in extract(df).collect()}
+    assert all(found[i] == f"Story {i} begins\nStory {i} ends" for i in range(8))
+    assert all(found[i] == "The copied story\ngoes on and on" for i in range(8, 12))
