@@ -187,9 +187,11 @@ def main_text(html: str, template: set[int]) -> str:
             break
     else:
         region = ""
-    # in a region, paragraphs and the like are slots even where their text recurs on the host's pages: copies of an article
-    slots = [text for text, e, kind in found if (region and e.tag in TEXT_BLOCKS) or _key(e.path, text) not in template]
-    return "\n".join(slots)
+    own = [(text, e) for text, e, _ in found if _key(e.path, text) not in template]
+    # where most of a region's text recurs on the host's pages, it is a copy of an article: its paragraphs and the like are slots
+    if region and 2 * sum(len(text) for text, _ in own) < sum(len(text) for text, _, _ in found):
+        own = [(text, e) for text, e, _ in found if e.tag in TEXT_BLOCKS or _key(e.path, text) not in template]
+    return "\n".join(text for text, _ in own)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

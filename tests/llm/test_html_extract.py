@@ -61,3 +61,13 @@ def test_copies_of_an_article_are_no_template(spark):
     found = {r.page_id: r.text for r in extract(df).collect()}
     assert all(found[i] == f"Story {i} begins\nStory {i} ends" for i in range(8))
     assert all(found[i] == "The copied story\ngoes on and on" for i in range(8, 12))
+
+
+def test_a_repeated_notice_inside_an_article_is_left_out(spark):
+    page = lambda *paragraphs: f"<html><body><article>{''.join(f'<p>{p}</p>' for p in paragraphs)}<ul><li>This post may contain links</li></ul></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page(f"Story {i} begins with these words of its own", f"Story {i} ends with some others")) for i in range(8)]
+    rows += [(8 + i, f"http://a.example/c{i}", page("The copied story begins here and there", "goes on and on until it ends", f"Copy {i}")) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in extract(df).collect()}
+    assert all(found[i] == f"Story {i} begins with these words of its own\nStory {i} ends with some others" for i in range(8))
+    assert all(found[8 + i].startswith(f"The copied story begins here and there\ngoes on and on until it ends\nCopy {i}") for i in range(4))
