@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, durable, shared_dir
+
+__all__ = ["WORD_GAP", "col", "delete", "durable", "lower_ascii", "packed", "read", "shared_dir", "small_enough", "unpacked", "words"]
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Separators of the benchmark word rule, as a Java and an RE2 class: every ASCII character but digits and a-z.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -16,29 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage with a reliable checkpoint in the shared folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is set only where none is named.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return df.checkpoint()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII takes the JVM's short way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
