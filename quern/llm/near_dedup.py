@@ -7,11 +7,10 @@ largest id there. Pairs are verified by a banded alignment of their words: simil
 the aligned words, which is the Jaccard similarity of the words where order is kept (an edit similarity). Shingles
 that both texts have once are the alignment's fixed points as far as they keep their order; between them words
 are aligned within the band that the threshold leaves. Verified links make classes (alternating star contraction).
-Buckets that then hold several classes pair their members with two others, the one that has most links so far and
-one picked by a hash; buckets whose members' classes this changes do so again, until no link is new. Where the members
-are still not all of one class (unrelated texts with a shared passage), they are compared by an exact prefix-filter
-join: every pair of them from different classes whose shingles' Jaccard similarity reaches the threshold is verified
-too.
+Buckets that then hold several classes pair their members, ``ROUNDS`` times, with two others: the one that has most
+links so far and one picked by a hash. Where the members are still not all of one class (unrelated texts with a shared
+passage), all of them are compared by an exact prefix-filter join: every pair from different classes whose shingles'
+Jaccard similarity reaches the threshold is verified too, so no such pair of a bucket is left out.
 
 Chance that a pair shares no tuple, by the Jaccard similarity of the shingles: 0.8: 2 in 10 billion; 0.6: 2 in 100,000;
 0.45 (one word of twelve exchanged): 0.5 %; 0.38 (the least that evenly spread exchanges leave of an edit similarity of
@@ -40,6 +39,8 @@ from .common import col, durable, packed, read, small_enough, unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, TUPLE = 24, 2
+#: Times that buckets of several classes are paired with further members before the exact join.
+ROUNDS = 2
 #: Words of a stretch without fixed points that are aligned at once; longer ones are cut along the diagonal.
 STRETCH = 4_096
 #: Partners of a text that meet it in one task; the pairs of a text with more are salted.
@@ -318,23 +319,28 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("key", F.explode(F.array_distinct("sketch"))).drop("sketch")
 
 
-def candidate_pairs(rows: DataFrame, first: Column, last: Column, least: float = SIMILARITY) -> DataFrame:
-    """rows: (key, id, n), and root where classes are known. Distinct pairs a < b of every bucket's members with the least of it by ``first`` and the greatest by ``last``.
+def candidate_pairs(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """rows: (key, id, n). Distinct pairs a < b of every bucket's members with its smallest and its largest id, of such lengths that they can reach ``least``."""
+    members = rows.select("key", F.struct("id", "n").alias("m"))
+    ends = members.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo.id < hi.id")
+    return _near_pairs(members.join(ends, "key").select("m", F.explode(F.array("lo", "hi")).alias("e")).where("m.id != e.id"), least)
 
-    Only pairs of different classes, and of such lengths in shingles that their words can reach ``least``.
-    """
-    m = F.struct("id", (F.col("n") + SHINGLE - 1).alias("n"), (F.col("root") if "root" in rows.columns else F.col("id")).alias("root"))
-    rows = rows.select("key", m.alias("m"), first.alias("first"), last.alias("last"))
-    ends = rows.groupBy("key").agg(F.min_by("m", F.struct("first", "m.id")).alias("lo"), F.max_by("m", F.struct("last", "m.id")).alias("hi"), F.count("*").alias("size")).where("size > 1")
-    sides = rows.join(ends, "key").select("m", F.explode(F.array("lo", "hi")).alias("e")).where("m.root != e.root")
-    near = F.least("m.n", "e.n") >= F.greatest("m.n", "e.n") * F.lit(least)
+
+def further_pairs(rows: DataFrame, first: Column, last: Column, least: float = SIMILARITY) -> DataFrame:
+    """rows: (key, id, n, root). The same with the least member by ``first`` and the greatest by ``last``, of different classes only."""
+    members = rows.select("key", F.struct("id", "n", "root").alias("m"), F.struct(first, "id").alias("first"), F.struct(last, "id").alias("last"))
+    ends = members.groupBy("key").agg(F.min_by("m", "first").alias("lo"), F.max_by("m", "last").alias("hi"))
+    return _near_pairs(members.join(ends, "key").select("m", F.explode(F.array("lo", "hi")).alias("e")).where("m.root != e.root"), least)
+
+
+def _near_pairs(sides: DataFrame, least: float) -> DataFrame:
+    words = lambda x: F.col(x) + F.lit(SHINGLE - 1)
+    near = F.least(words("m.n"), words("e.n")) >= F.greatest(words("m.n"), words("e.n")) * F.lit(least)
     return sides.where(near).select(F.least("m.id", "e.id").alias("a"), F.greatest("m.id", "e.id").alias("b")).distinct()
 
 
-def _with_text(pairs: DataFrame, side: str, texts: DataFrame) -> DataFrame:
-    """pairs with the text of their ``side``; the pairs of a text that has more than ``PARTNERS`` are dealt to several tasks, each with a copy of it."""
-    many = durable(pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select("id", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts")))
-    many = F.broadcast(many) if small_enough(many, BROADCAST_IDS) else many
+def _with_text(pairs: DataFrame, side: str, texts: DataFrame, many: DataFrame) -> DataFrame:
+    """pairs with the text of their ``side``. many: (id, parts) of texts with more than ``PARTNERS``; their pairs are dealt to several tasks, each with a copy of the text."""
     dealt = pairs.join(many.withColumnRenamed("id", side), side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     copies = texts.join(many, "id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     return dealt.join(copies.select(F.col("id").alias(side), "salt", F.col("text").alias(f"text_{side}")), [side, "salt"]).drop("salt")
@@ -342,22 +348,20 @@ def _with_text(pairs: DataFrame, side: str, texts: DataFrame) -> DataFrame:
 
 def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
     """pairs: (a, b), computed. Those (a, b, similarity) that their texts' alignment confirms."""
-    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
     side = F.broadcast(needed) if small_enough(needed, BROADCAST_IDS) else needed
-    texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).join(side, "id", "left_semi")
-    joined = _with_text(_with_text(pairs, "a", texts), "b", texts)
+    texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).join(side.select("id"), "id", "left_semi")
+    many = needed.where("parts > 1")
+    many = F.broadcast(many) if small_enough(many, BROADCAST_IDS) else many
+    joined = _with_text(_with_text(pairs, "a", texts, many), "b", texts, many)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a bigint, b bigint, similarity double")
 
 
-def open_rows(nodes: DataFrame, roots: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """(key, id, n, root) of the members of buckets that hold several classes; with ``changed`` (id), computed, only of buckets that hold one of these."""
-    rooted = bucket_rows(nodes.join(roots, nodes.id == roots.node, "left").select("id", "n", "sketch", F.coalesce("root", "id").alias("root")))
-    seen = rooted
-    if changed is not None:
-        seen = rooted.join((F.broadcast(changed) if small_enough(changed, BROADCAST_IDS) else changed).withColumn("new", F.lit(True)), "id", "left")
-    moved = F.lit(True) if changed is None else F.coalesce(F.max("new"), F.lit(False))
-    mixed = durable(seen.groupBy("key").agg((F.min("root") < F.max("root")).alias("several"), F.count("*").alias("m"), moved.alias("moved")).where("several and moved and m > 3").select("key"))
-    return rooted.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi")
+def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows: (key, id, n). (key, id, n, root) of the members of buckets that hold several classes, computed."""
+    rooted = rows.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    mixed = durable(rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("several"), F.count("*").alias("m")).where("several and m > 3").select("key"))
+    return durable(rooted.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"))
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,31 +419,40 @@ def exact_pairs(members: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots: (node, root), links: (a, b), both computed. The roots with the links, computed."""
+    end = lambda c: links.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").select(*links.columns, F.coalesce(f"root_{c}", c).alias(f"of_{c}"))
+    between = end("a").join(end("b"), ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    merged = durable(components(between))
+    of = merged.select(F.col("node").alias("root"), F.col("root").alias("now"))
+    new = merged.join(roots.select("root").distinct().withColumnRenamed("root", "node"), "node", "left_anti")
+    return durable(roots.join(of, "root", "left").select("node", F.coalesce("now", "root").alias("root")).unionByName(new.select("node", "root")))
+
+
 def _roots(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """nodes: (id, n, sketch), computed. (node, root) of every linked node."""
-    as_edges = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return durable(verified_links(durable(pairs), df, id_col, text_col).select("a", "b"))
 
-    links = verified(candidate_pairs(bucket_rows(nodes), F.col("id"), F.col("id")))
-    roots, changed, a_round = durable(components(links)), None, 0
-    while True:
-        a_round += 1
-        degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        rows = open_rows(nodes, roots, changed).join(degrees, "id", "left")
+    links = verified(candidate_pairs(bucket_rows(nodes)))
+    roots = durable(components(links))
+    degrees = durable(links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")))
+    rows = open_rows(bucket_rows(nodes), roots)
+    for a_round in range(ROUNDS):
         picked = F.xxhash64("key", "id", F.lit(a_round))
-        new = verified(candidate_pairs(rows, F.struct(-F.coalesce("degree", F.lit(0)), picked), picked))
+        new = verified(further_pairs(rows.join(degrees, "id", "left"), -F.coalesce("degree", F.lit(0)), picked))
         if new.isEmpty():
             break
-        was, roots, links = roots, durable(components(as_edges(roots).unionByName(new))), durable(links.unionByName(new))
-        before = was.select("node", F.col("root").alias("old"))
-        changed = durable(roots.join(before, "node", "left").where("old is null or old != root").select(F.col("node").alias("id")))
-    members = durable(open_rows(nodes, roots).select("id", "root").distinct())
+        met = new.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("bigint").alias("degree"))
+        degrees = durable(degrees.unionByName(met).groupBy("id").agg(F.sum("degree").alias("degree")))
+        roots = _joined(roots, new)
+        rows = open_rows(rows, roots)
+    members = durable(rows.select("id", "root").distinct())
     if members.isEmpty():
         return roots
     last = verified(exact_pairs(members, df, id_col, text_col))
-    return roots if last.isEmpty() else components(as_edges(roots).unionByName(last))
+    return roots if last.isEmpty() else _joined(roots, last)
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
