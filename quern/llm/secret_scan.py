@@ -6,9 +6,13 @@ how much of it dictionary words cover, what its path says, and the words before
 own) is trained from labelled findings: the caller's, or generated ones of bounded number. Everything is
 DataFrame and SQL functions; texts don't move.
 
+A text is cut at its matches once, so a candidate's place, and the text around it, come from the pieces and no text is
+searched again; work is linear in a text's length. Every place of a value is scored; a finding takes its best score.
+
 Defined results: null and empty texts have no findings; a value found several times in a text is one finding
-with its first place and its number of occurrences; a null path tells nothing; repeated rows each count; other
-columns are never looked at; an empty table gives no rows.
+with its first place, its number of places and its highest score; a null path tells nothing; repeated rows, and rows
+with a null or repeated id, each have their own findings; equal scores need no order; other columns are never looked at,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, read
+from ..functions.vectors import let
+from .common import col, packed, read
 
 #: Generated labelled findings, and the most that are taken from a caller's.
 GENERATED, MOST_LABELLED = 8_000, 200_000
@@ -90,20 +96,43 @@ def with_features(found: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(text: Column) -> Column:
+    """array<struct<gap, match, before, after>>: each match behind the text since the last one, and up to ``NEAR`` characters around it. The last piece is the rest, without a match."""
+
+    def zipped(s: Column) -> Column:
+        m, g = s["m"], s["g"]
+        n, none = F.size(m), F.array(F.lit(""))
+        z = F.arrays_zip(g.alias("gap"), m.alias("match"), F.concat(none, m).alias("last"), F.concat(F.slice(g, F.lit(2), n), none).alias("rest"), F.concat(F.slice(m, F.lit(2), n), none).alias("next"))
+        return F.transform(z, lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), F.right(F.concat(x["last"], x["gap"]), F.lit(NEAR)).alias("before"), F.left(F.concat(x["rest"], F.coalesce(x["next"], F.lit(""))), F.lit(NEAR)).alias("after")))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("m"), F.split(text, CANDIDATE).alias("g")), zipped)
+
+
+def _value(match: Column) -> Column:
+    """struct<head, value, tail>: what a match assigns, without closing punctuation, or the whole match (then head is empty)."""
+    given = lambda v: F.when(v != "", F.regexp_replace(v, r"[.,;:!?)\]}]+$", "")).otherwise(match)
+    parts = lambda v: F.struct(F.left(match, F.length(match) - F.length(F.when(v != "", v).otherwise(match))).alias("head"), given(v).alias("value"), F.when(v != "", F.right(v, F.length(v) - F.length(given(v)))).otherwise("").alias("tail"))
+    return let(F.regexp_extract(match, NAMED, 1), parts)
+
+
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(id, at, value, named, before, after, path, occurrences): a row per distinct candidate of each text."""
+    """(rid, id, text_key, at, value, named, before, after, path): a row per place of a candidate; ``rid`` tells rows apart."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     path = col(path_col).cast("string") if path_col else F.lit(None).cast("string")
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), col(id_col).alias("id"), _text_key(text_col), path.alias("path"), text.alias("text"))
+    small = lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after"))
     # outer: else Spark infers a filter that runs the pattern once more
-    met = df.select(col(id_col).alias("id"), text.alias("text"), path.alias("path")).select("id", "text", "path", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).alias("match")).where(F.col("match").isNotNull())
-    value = F.regexp_extract("match", NAMED, 1)
-    met = met.withColumn("value", F.when(value != "", F.regexp_replace(value, r"[.,;:!?)\]}]+$", "")).otherwise(F.col("match"))).withColumn("named", value != "")
-    met = met.withColumn("match_at", F.expr("locate(match, text)")).withColumn("at", F.col("match_at") + F.expr("locate(value, match)") - 2)
-    begin = F.greatest(F.col("at") - NEAR, F.lit(0))
+    met = rows.select("rid", "id", "text_key", "path", F.posexplode_outer(F.transform(_pieces(F.col("text")), small)).alias("i", "p")).where("p.match is not null")
+    ends = F.sum(F.col("p.gap") + F.length("p.match")).over(W.partitionBy("rid").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    met = met.withColumn("v", _value(F.col("p.match"))).withColumn("ends", ends).where(F.length("v.value") >= 8)
+    at = F.col("ends") - F.length("p.match") + F.length("v.head")
     return met.select(
-        "id", "at", "value", "named", F.substring("text", begin + 1, F.col("at") - begin).alias("before"), F.substring("text", F.col("at") + F.length("value") + 1, F.lit(NEAR)).alias("after"), "path",
-        ((F.length("text") - F.length(F.replace("text", F.col("value"), F.lit("")))) / F.length("value")).cast("bigint").alias("occurrences"),
-    ).where(F.length("value") >= 8).dropDuplicates(["id", "at", "value"])
+        "rid", "id", "text_key", at.cast("long").alias("at"), "v.value", (F.length("v.head") > 0).alias("named"), F.right(F.concat("p.before", "v.head"), F.lit(NEAR)).alias("before"), F.left(F.concat("v.tail", "p.after"), F.lit(NEAR)).alias("after"), "path"
+    )
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")), F.length(col(text_col))).alias("text_key")
 
 
 def generated_findings(spark: SparkSession, n: int = GENERATED) -> DataFrame:
@@ -156,25 +185,29 @@ def generated_findings(spark: SparkSession, n: int = GENERATED) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
-    """The forest from labelled findings (value, named, before, after, path, label 0 or 1), ``MOST_LABELLED`` of them at most."""
-    rows = with_features(labelled.limit(MOST_LABELLED)).select("label", *FEATURES)
+    """The forest from labelled findings (value, named, before, after, path, label 0 or 1): all, or those ``MOST_LABELLED`` whose hash is lowest."""
+    taken = labelled.orderBy(F.xxhash64(*map(col, labelled.columns))).limit(MOST_LABELLED)
+    rows = with_features(taken).select("label", *FEATURES)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features").fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
 
 
 def scan(df: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """A row per candidate: id, at (code points before it), value, named, occurrences, score and is_secret."""
+    """A row per value found in a row: id, at (code points before its first place), value, named, occurrences, score and is_secret, and the key of its text."""
     found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(df, id_col, text_col, path_col)))
     scored = model.transform(found).withColumn("score", F.round(vector_to_array("probability")[1], 6))
-    return scored.select(F.col("id").alias(id_col), "at", "value", "named", "occurrences", "score", (F.col("score") >= SECRET_AT).alias("is_secret"))
+    by_value = scored.groupBy("rid", "value").agg(F.first("id").alias("id"), F.first("text_key").alias("text_key"), F.min("at").alias("at"), F.max("named").alias("named"), F.count("*").alias("occurrences"), F.max("score").alias("score"))
+    return by_value.select(F.col("id").alias(id_col), "at", "value", "named", "occurrences", "score", (F.col("score") >= SECRET_AT).alias("is_secret"), "text_key")
 
 
 def redact(df: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``df`` with each text's secrets (longest first) replaced; rows are met by id."""
-    values = findings.where("is_secret").groupBy(col(id_col).alias("_found_id")).agg(F.collect_set("value").alias("_found_values"))
-    order = F.array_sort("_found_values", lambda a, b: F.length(b) - F.length(a))
-    met = df.join(values, col(id_col) == F.col("_found_id"), "left")
-    clean = F.when(F.col("_found_values").isNull(), col(text_col)).otherwise(F.aggregate(order, col(text_col), lambda t, v: F.replace(t, v, F.lit(mask))))
-    return met.withColumn(text_col, clean).drop("_found_id", "_found_values")
+    """``df`` with the secrets of ``scan``'s findings replaced where they were found; rows are met by id and text."""
+    values = findings.where("is_secret").groupBy(col(id_col).alias("id"), "text_key").agg(F.collect_set("value").alias("values"))
+    rows = df.select(packed(df), col(id_col).alias("id"), _text_key(text_col), col(text_col).cast("string").alias("text")).alias("r")
+    met = rows.join(values.alias("v"), (F.col("r.text_key") == F.col("v.text_key")) & F.col("r.id").eqNullSafe(F.col("v.id")), "left").select("r.row", "r.text", "v.values")
+    hidden = lambda v, match: F.when(F.array_contains("values", v["value"]), F.concat(v["head"], F.lit(mask), v["tail"])).otherwise(match)
+    piece = lambda x: F.concat(x["gap"], F.when(x["match"].isNull(), "").otherwise(let(_value(x["match"]), lambda v: hidden(v, x["match"]))))
+    clean = met.select("row", F.when(F.col("values").isNull(), F.col("text")).otherwise(F.array_join(F.transform(_pieces(F.col("text")), piece), "")).alias("clean"))
+    return clean.select(*[F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
