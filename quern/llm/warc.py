@@ -1,16 +1,18 @@
 """WARC archives with a two-level capture index.
 
-Records are written by Spark's text writer with the record end (two line ends) as separator: uncompressed
-WARC/1.1 files, on any file system, by the usual commit protocol. Equal payloads are stored once; the others
-revisit it. Archives are read back whole files at a time (their size is bounded by records a file) by record
-framing alone. The captures' keys (host labels reversed, then path) are range-sorted into compressed blocks;
-the first key of each block makes the sparse directory. A lookup bisects the directory, reads the block, bisects
-in it, and reads the record's byte range from the archive.
+Records are packed into values of up to ``ARCHIVE_BYTES`` that Spark's text writer, with the record end (two line ends)
+as separator, puts into a file each: uncompressed WARC/1.1 files, on any file system, by the usual commit protocol.
+Equal payloads are stored once; the others revisit it. Archives are read back whole files at a time by record framing
+alone. The captures' keys (host labels reversed, then path) are range-sorted into compressed blocks; the first key of
+each block (of each few, if there are too many) makes the sparse directory. A lookup bisects the directory, reads the
+block, bisects in it, compares urls, and reads the record's byte range from the archive. Many lookups are one job:
+urls meet their blocks sorted, so a task holds one block at a time, and ranges are read in an archive's order.
 
 Defined results: null html is an empty payload; a null url is written without target and has the key ')';
 payloads under 100 bytes are always stored; of equal longer ones that with the smallest page id is stored (rows
 that repeat that id are all stored; null ids never are the smallest where others exist); line ends in urls
-are percent-encoded; an empty table gives archives without records and no rows.
+are percent-encoded; a repeated url gives each of its captures once; a record is held whole, so it is at most 2 GB; an
+empty table gives archives without records and no rows; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, durable, read, shared_dir, small_enough
+from .common import col, delete, durable, read, shared_dir, small_enough
 
-#: Payloads that may be revisited, bytes of an archive (about), lines of an index block.
-LEAST_REVISITED, ARCHIVE_BYTES, BLOCK_LINES = 100, 32 << 20, 2_000
+#: Payloads that may be revisited, bytes of an archive (but for a longer record), lines of an index block.
+LEAST_REVISITED, ARCHIVE_BYTES, BLOCK_LINES = 100, 16 << 20, 2_000
 #: Groups of equal payloads (about 60 bytes each) and directory entries (about 100 bytes) that are broadcast or held.
-BROADCAST_GROUPS, DIRECTORY_BLOCKS = 1_000_000, 1_000_000
+BROADCAST_GROUPS, DIRECTORY_ENTRIES = 1_000_000, 200_000
 DATE = "2024-01-01T00:00:00Z"
 
 END = "\r\n\r\n"
@@ -42,6 +44,11 @@ FIELDS = [x.split()[0] for x in ENTRY.split(", ")]
 _KINDS = [{"string": pa.string(), "bigint": pa.int64()}[x.split()[1]] for x in ENTRY.split(", ")]
 
 
+def _target(url: str) -> Column:
+    """A url as records have it."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def _records(pages: DataFrame, groups: DataFrame) -> DataFrame:
     """One string per page: a record without its end."""
     html, digest = F.coalesce(F.col("html"), F.lit("")), F.col("digest")
@@ -51,13 +58,12 @@ def _records(pages: DataFrame, groups: DataFrame) -> DataFrame:
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(line("HTTP/1.1 200 OK"), line("Content-Type: text/html; charset=utf-8"), line("Content-Length: ", F.octet_length(html)), F.lit("\r\n"))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(html))
-    url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
         line("WARC/1.1"),
         line("WARC-Type: ", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID: ", uri(F.col("page_id"))),
         line(f"WARC-Date: {DATE}"),
-        F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI: ", url)),
+        F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI: ", _target("url"))),
         line("WARC-Payload-Digest: sha256:", digest),
         F.when(revisit, F.concat(line("WARC-Refers-To: ", uri(F.col("refers_to"))), line(f"WARC-Profile: {PROFILE}"))).otherwise(F.lit("")),
         line("Content-Type: application/http; msgtype=response"),
@@ -75,9 +81,34 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     groups = sizes.where(F.col("n") >= LEAST_REVISITED).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     groups = durable(groups)
     side = F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups
-    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    a_file = max(1, ARCHIVE_BYTES * n // max(1, total + 500 * n))
-    _records(rows, side).write.option("lineSep", END).option("maxRecordsPerFile", a_file).mode("overwrite").text(folder)
+    packed = _records(rows, side).mapInArrow(_packed(ARCHIVE_BYTES), "value string")
+    packed.write.option("lineSep", END).option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
+
+
+def _packed(most: int):
+    """Runs of records with the record end between them, of ``most`` bytes but for a single longer record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def value() -> pa.RecordBatch:
+            joined = pa.array([END.encode().join(held)], pa.binary()).cast(pa.string())
+            held.clear()
+            return pa.RecordBatch.from_arrays([joined], names=["value"])
+
+        for batch in batches:
+            for record in batch.column(0).cast(pa.binary()):
+                data = record.as_py()
+                if held and size + len(data) > most:
+                    yield value()
+                    size = 0
+                held.append(data)
+                size += len(data) + len(END)
+        if held:
+            yield value()
+
+    return run
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -104,7 +135,7 @@ def url_key(url: str | None) -> str:
     m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)", url or "")
     if not m:
         return ")" + (url or "")
-    return ",".join(reversed(m[1].lower().split("."))) + (m[2] or "") + ")" + (m[3].lower() or "/")
+    return ",".join(reversed(m[1].lower().split("."))) + (m[2] or "") + ")" + (m[3] or "/")
 
 
 def _page_id(uri: str | None) -> int | None:
@@ -129,8 +160,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((url_key(url), _page_id(headers["warc-record-id"]), url, headers["warc-type"], refers, n, digest, path.as_py(), at, end - at))
                 at = end
             for i in range(0, len(rows), 20_000):
-                some = rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], kind) for k, kind in enumerate(_KINDS)], names=FIELDS)
+                yield _as_batch(rows[i : i + 20_000])
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,31 +169,126 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.where("length > 0").select("path", "content").mapInArrow(_entries, ENTRY)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[str] = []
-    keys: list[str] = []
+def _blocks(size: int):
+    """Compressed blocks of ``size`` sorted entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        keys: list[str] = []
+
+        def block(n: int) -> pa.RecordBatch:
+            lines, names = held[:n], keys[:n]
+            del held[:n], keys[:n]
+            values = [[names[0]], [names[-1]], [n], [zlib.compress("\n".join(lines).encode())]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.string(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["first_key", "last_key", "n", "lines"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys.append(row["url_key"])
+                held.append(json.dumps([row[f] for f in FIELDS]))
+            while len(held) >= size:
+                yield block(size)
+        if held:
+            yield block(len(held))
+
+    return run
+
+
+def _rows(lines: bytes) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(lines).decode().split("\n")]
+
+
+def _captures(rows: list[list], key: str, url: str | None) -> list[list]:
+    """Those of a block's sorted rows that have the key, by bisection, and the url."""
+    at, to = bisect_left(rows, key, key=lambda x: x[0]), bisect_right(rows, key, key=lambda x: x[0])
+    return [x for x in rows[at:to] if x[2] == url]
+
+
+def _as_batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=FIELDS)
+
 
-    def block(n: int) -> pa.RecordBatch:
-        lines, names = held[:n], keys[:n]
-        del held[:n], keys[:n]
-        values = [[names[0]], [names[-1]], [n], [zlib.compress("\n".join(lines).encode())]]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.string(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["first_key", "last_key", "n", "lines"])
+def _groups_of(firsts: list[str], key: str) -> range:
+    """Places in the directory of what can hold the key."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
 
+
+def _located(firsts: list[str], groups: list[int]):
+    """Of each url its key and the groups of blocks that can hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(groups[i], key, url) for url in batch.column("asked").to_pylist() for key in [url_key(url)] for i in _groups_of(firsts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["part", "url_key", "asked"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted so that a group's blocks come before the urls that are looked up there: the captures of these."""
+    now, blocks = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            keys.append(row["url_key"])
-            held.append(json.dumps([row[f] for f in FIELDS]))
-        while len(held) >= BLOCK_LINES:
-            yield block(BLOCK_LINES)
-    if held:
-        yield block(len(held))
+        out: list[list] = []
+        parts, lines, keys, asked = (batch.column(c) for c in ("part", "lines", "url_key", "asked"))
+        for i, part in enumerate(parts.to_pylist()):
+            if part != now:
+                now, blocks = part, []
+            if lines[i].is_valid:
+                blocks.append(_rows(lines[i].as_py()))
+            else:
+                out += [x for rows in blocks for x in _captures(rows, keys[i].as_py(), asked[i].as_py())]
+        yield _as_batch(out)
+
+
+def _ranged(path: str):
+    """The file system's and the file's name for pyarrow, if that knows the scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
+
+
+READ = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _told(record: bytes) -> tuple:
+    """What a record says, with the digest taken from its payload where it has that."""
+    headers, block, _ = parse_record(record, 0)
+    http, payload = split_http(block)
+    stored, said = headers["warc-type"] == "response", headers["warc-payload-digest"].removeprefix("sha256:")
+    digest = sha256(payload).hexdigest() if stored else said
+    if digest != said:
+        raise ValueError(f"the payload of {headers['warc-record-id']} doesn't have the digest that its record names")
+    return _page_id(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], None if stored else _page_id(headers["warc-refers-to"]), len(payload) if stored else int(http["content-length"]), digest
+
+
+def _told_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in READ.split(", ")])
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, file = None, None
+    for batch in batches:
+        rows = []
+        for archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
+            if archive != now:
+                system, name = _ranged(archive)
+                now, file = archive, system.open_input_file(name)
+            rows.append(_told(file.read_at(length, offset)))
+        yield _told_batch(rows)
+
+
+def _cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same from rows sorted so that an archive's content comes before its ranges."""
+    data = b""
     for batch in batches:
-        for lines in batch.column("lines"):
-            rows = [json.loads(x) for x in zlib.decompress(lines.as_py()).decode().split("\n")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=FIELDS)
+        rows = []
+        for content, offset, length in zip(batch.column("content"), batch.column("offset").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            if content.is_valid:
+                data = content.as_py()
+            else:
+                rows.append(_told(data[offset : offset + length]))
+        yield _told_batch(rows)
 
 
 class CaptureIndex:
@@ -171,44 +296,64 @@ class CaptureIndex:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self._directory: list[tuple[str, str, int]] | None = None
+        self._directory: tuple[list[str], list[int], int] | None = None
 
     @classmethod
     def build(cls, entries: DataFrame, folder: str) -> CaptureIndex:
         """Range-sorts the entries by key, so a block's keys are next to each other, and writes blocks and directory."""
         dealt = entries.repartitionByRange("url_key", "archive", "offset").sortWithinPartitions("url_key", "archive", "offset")
-        blocks = dealt.mapInArrow(_blocks, "first_key string, last_key string, n int, lines binary")
+        blocks = dealt.mapInArrow(_blocks(BLOCK_LINES), "first_key string, last_key string, n int, lines binary")
         blocks.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/blocks")
         spark = entries.sparkSession
-        spark.read.parquet(f"{folder}/blocks").select("first_key", "last_key", "block").write.mode("overwrite").parquet(f"{folder}/directory")
+        spark.read.parquet(f"{folder}/blocks").select("first_key", "block").write.mode("overwrite").parquet(f"{folder}/directory")
         return cls(spark, folder)
 
-    def entries(self) -> DataFrame:
-        """Every capture, from the blocks."""
-        return self.spark.read.parquet(f"{self.folder}/blocks").select("lines").mapInArrow(_lines, ENTRY)
-
-    def _blocks_of(self, key: str) -> list[int]:
-        table = self.spark.read.parquet(f"{self.folder}/directory")
-        if self._directory is None and small_enough(table, DIRECTORY_BLOCKS):
-            self._directory = sorted((r.first_key, r.last_key, r.block) for r in table.collect())
-        if self._directory is None:  # a directory too large to hold is searched in place
-            return [r.block for r in table.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect()]
-        to = bisect_right(self._directory, key, key=lambda x: x[0])
-        at = bisect_left(self._directory, key, key=lambda x: x[1])
-        return [b for _, _, b in self._directory[at:to]]
-
-    def lookup(self, url: str) -> list[dict]:
+    def blocks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/blocks")
+
+    def directory(self) -> tuple[list[str], list[int], int]:
+        """First keys, the groups of blocks that they begin, and blocks a group: as few as leave ``DIRECTORY_ENTRIES`` groups of a partition's neighbours."""
+        if self._directory is None:
+            table = self.spark.read.parquet(f"{self.folder}/directory")
+            # rows of a partition are numbered on; each partition begins a group
+            parts = F.expr("shiftright(block, 33)")
+            n, several = table.agg(F.count("*"), F.count_distinct(parts)).first()
+            step = 1 if n <= DIRECTORY_ENTRIES else -(-n // max(1, DIRECTORY_ENTRIES - several))
+            some = table.select("first_key", _group(step).alias("part")).groupBy("part").agg(F.min("first_key").alias("first_key"))
+            held = sorted((r.part, r.first_key) for r in some.collect())  # bounded by DIRECTORY_ENTRIES
+            self._directory = [k for _, k in held], [p for p, _ in held], step
+        return self._directory
+
+    def lookup(self, url: str | None) -> list[dict]:
         """The entries of a url's captures."""
-        key, out = url_key(url), []
-        wanted = self._blocks_of(key)
+        firsts, groups, step = self.directory()
+        key = url_key(url)
+        wanted = [groups[i] for i in _groups_of(firsts, key)]
+        out = []
         if wanted:
-            for r in self.spark.read.parquet(f"{self.folder}/blocks").where(F.col("block").isin(wanted)).select("lines").toLocalIterator():
-                rows = [json.loads(x) for x in zlib.decompress(r.lines).decode().split("\n")]
-                at = bisect_left(rows, key, key=lambda x: x[0])
-                to = bisect_right(rows, key, key=lambda x: x[0])
-                out += [dict(zip(FIELDS, x, strict=True)) for x in rows[at:to]]
+            for r in self.blocks().where(_group(step).isin(wanted) & (F.col("first_key") <= key) & (F.col("last_key") >= key)).select("lines").toLocalIterator():
+                out += [dict(zip(FIELDS, x, strict=True)) for x in _captures(_rows(r.lines), key, url)]
         return sorted(out, key=lambda x: (x["archive"], x["offset"]))
 
+    def lookup_all(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
+        """The entries of all captures of the urls, each once."""
+        firsts, groups, step = self.directory()
+        asked = urls.select(_target(col(url_col).cast("string")).alias("asked")).distinct().mapInArrow(_located(firsts, groups), "part bigint, url_key string, asked string")
+        held = self.blocks().select(_group(step).alias("part"), "lines", F.lit(None).cast("string").alias("url_key"), F.lit(None).cast("string").alias("asked"))
+        both = held.unionByName(asked.withColumn("lines", F.lit(None).cast("binary")))
+        return both.repartition("part").sortWithinPartitions("part", F.col("lines").isNull(), "url_key", "asked").mapInArrow(_met, ENTRY)
+
+    def read_all(self, entries: DataFrame) -> DataFrame:
+        """What the entries' records say (``READ``), by range reads in the order of the archives; by whole archives where only Spark reads their file system."""
+        ranges = entries.select("archive", "offset", "length")
+        try:
+            _ranged(self.folder)
+        except (ValueError, NotImplementedError, ImportError, OSError):
+            files = self.spark.read.format("binaryFile").load(f"{self.folder}/../archives/part-*").select(F.col("path").alias("archive"), "content")
+            both = files.unionByName(ranges, allowMissingColumns=True)
+            return both.repartition("archive").sortWithinPartitions("archive", F.col("content").isNull(), "offset").mapInArrow(_cut_ranges, READ)
+        return ranges.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(_read_ranges, READ)
+
     def fetch(self, entry: dict) -> tuple[dict[str, str], bytes]:
         """Headers and payload of a capture, by one range read of its archive (a revisit's payload is empty)."""
         jvm = self.spark.sparkContext._jvm
@@ -223,11 +368,19 @@ class CaptureIndex:
         return headers, split_http(block)[1]
 
 
+def _group(step: int) -> Column:
+    """Blocks of a partition, ``step`` neighbours a group, by number of partition and group."""
+    return F.expr(f"shiftleft(shiftright(block, 33), 33) + (block & {(1 << 33) - 1}) div {step}")
+
+
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/quern-warc-{uuid.uuid4().hex}"
-    write_archives(read(spark, sf_dir, "pages"), f"{folder}/archives")
+    """Every page's capture, looked up by url in the index over the archives and read from there by range."""
+    folder, pages = f"{shared_dir(spark)}/quern-warc-{uuid.uuid4().hex}", read(spark, sf_dir, "pages")
+    write_archives(pages, f"{folder}/archives")
     index = CaptureIndex.build(read_archives(spark, f"{folder}/archives"), f"{folder}/index")
-    return index.entries().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = durable(index.read_all(index.lookup_all(pages)))
+    delete(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = """
