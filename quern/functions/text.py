@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it (fixed values); works in Java's and Python's regular expressions.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A run of anything else: a word.
+NOT_WS = WS.replace("[", "[^", 1) + "+"
 #: Everything that is neither a word character nor white space.
 NOT_WORD = r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 

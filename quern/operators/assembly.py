@@ -93,18 +93,23 @@ def joined_context(results: DataFrame, group: str = "query_id", pos: str = "rank
     return _joined(results, group, pos, F.col("text"), "\n", "context")
 
 
+#: Pieces of the prompts without context and with a whole document; fixed values.
+ZERO_SHOT = ("Question: ", "\nAnswer based on your general knowledge:")
+DIRECT = ("Use the following document to answer the question.\n\nDOCUMENT:\n", "\n\nQUESTION: ", "\nAnswer only the color name.")
+
+
 def zero_shot_prompt(question: Column) -> Column:
-    return F.concat(F.lit("Question: "), question, F.lit("\nAnswer based on your general knowledge:"))
+    return F.concat(F.lit(ZERO_SHOT[0]), question, F.lit(ZERO_SHOT[1]))
 
 
 def direct_prompt(document: Column, question: Column) -> Column:
-    return F.concat(F.lit("Use the following document to answer the question.\n\nDOCUMENT:\n"), document, F.lit("\n\nQUESTION: "), question, F.lit("\nAnswer only the color name."))
+    return F.concat(F.lit(DIRECT[0]), document, F.lit(DIRECT[1]), question, F.lit(DIRECT[2]))
 
 
 def judge_prompt(question: Column, context: Column, answer: Column) -> Column:
     """Asks how well the answer rests on the context, as JSON with score and reason."""
     return F.concat(
-        F.lit("You are an objective evaluator. Rate the 'Groundedness' of the following answer based ONLY on the provided context.\n\nQUESTION: "), question, F.lit("\nCONTEXT: "), context, F.lit("\nANSWER: "), answer,
-        F.lit("\n\nPenalize what the context does not contain; a contradiction scores 0; a fully supported answer scores 1.0.\n"),
-        F.lit('Output ONLY a JSON object: {"score": float, "reason": string}'),
+        F.lit("Judge whether the ANSWER below rests on the CONTEXT alone. Knowledge from elsewhere doesn't count as support, even if it is true.\n\nQUESTION: "), question, F.lit("\nCONTEXT: "), context, F.lit("\nANSWER: "), answer,
+        F.lit("\n\nGo through the claims of the answer. The score is the share of them that the context states: 1.0 if it states all, less for each that it doesn't, 0.0 as soon as it contradicts one.\n"),
+        F.lit('Reply with one JSON object and nothing else, its keys "score" (a number from 0 to 1) and "reason" (one sentence).'),
     )

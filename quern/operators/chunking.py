@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, strip_ws, words
+from ..functions.text import NOT_WS, WS, is_blank, strip_ws, words
 from ..functions.vectors import let
 
 CHUNK_SIZE, OVERLAP, SENTENCE_WORDS = 300, 50, 300
@@ -36,20 +36,21 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_chunks(text: Column, max_words: int = SENTENCE_WORDS) -> Column:
-    """Sentences packed while their words fit; a longer sentence is a chunk of its own, whole."""
-    counted = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    """Sentences packed while their words fit; a longer sentence is a chunk of its own, whole.
 
-    def add(state: Column, x: Column) -> Column:
-        full = (state["n"] + x["n"] > max_words) & (F.size(state["open"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(F.array_join(state["open"], " ")))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.array(x["s"])).otherwise(F.concat(state["open"], F.array(x["s"]))).alias("open"),
-            F.when(full, x["n"]).otherwise(state["n"] + x["n"]).alias("n"),
-        )
+    One pass over the sentences' word counts finds where chunks begin; each is then a slice.
+    """
+    start = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("n"), F.lit(1).alias("i"))
 
-    packed = F.aggregate(counted, start, add, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], " ")))).otherwise(s["done"]))
-    return F.when(F.coalesce(F.size(words(text)), F.lit(0)) > 0, packed).otherwise(F.array().cast("array<string>"))
+    def add(state: Column, n: Column) -> Column:
+        full = (state["n"] + n > max_words) & (state["i"] > F.element_at(state["starts"], -1))
+        return F.struct(F.when(full, F.concat(state["starts"], F.array(state["i"]))).otherwise(state["starts"]).alias("starts"), F.when(full, n).otherwise(state["n"] + n).alias("n"), (state["i"] + 1).alias("i"))
+
+    def packed(s: Column) -> Column:
+        starts = F.aggregate(F.transform(s, lambda x: F.regexp_count(x, F.lit(NOT_WS))), start, add, lambda state: state["starts"])
+        return let(F.struct(s.alias("s"), starts.alias("a")), lambda x: F.transform(F.arrays_zip(x["a"].alias("at"), F.slice(x["a"], F.lit(2), F.size(x["a"])).alias("to")), lambda c: F.array_join(F.slice(x["s"], c["at"], F.coalesce(c["to"], F.size(x["s"]) + 1) - c["at"]), " ")))
+
+    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(let(sentences(text), packed))
 
 
 def chunk_id(*parts: Column) -> Column:
@@ -62,7 +63,7 @@ def explode_chunks(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> D
     keep = [c for c in docs.columns if c != "text"]
     # outer: else Spark infers a filter on the number of chunks that makes them once more
     rows = docs.select(*keep, F.posexplode_outer(chunks).alias("position", "text")).where("position is not null")
-    return rows.withColumns({"chunk_id": chunk_id(F.col(id_col), F.col("position")), "word_count": F.size(words(F.col("text"))), "char_count": F.length("text")})
+    return rows.withColumns({"chunk_id": chunk_id(F.col(id_col), F.col("position")), "word_count": F.regexp_count("text", F.lit(NOT_WS)), "char_count": F.length("text")})
 
 
 def chunk_by_words(docs: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -1,16 +1,22 @@
-"""Embedders: a hashing one of built-in functions, models as plug-ins."""
+"""Embedders: a hashing one, models as plug-ins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, words
-from ..functions.vectors import let, normalize
+
+
+#: Cells of the vectors that are counted at once.
+CELLS = 1 << 22
 
 
 class Embedder(Protocol):
@@ -26,17 +32,30 @@ def zeros(dimension: int) -> Column:
 
 
 def hash_vector(text: Column, dimension: int) -> Column:
-    """Word counts in ``dimension`` buckets of the words' md5, normalised; zeros for blank text."""
-    mark = lambda bucket: F.concat(F.lit("<"), bucket.cast("string"), F.lit(">"))
-    marks = F.array_join(F.transform(words(F.lower(text)), lambda w: mark(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension)), "")
-    # a bucket's count from the length of the marks without it: byte scans instead of a lambda call per word and bucket
-    count = lambda all_marks, i: (F.length(all_marks) - F.length(F.replace(all_marks, mark(i), F.lit("")))) / F.length(mark(i))
-    counts = let(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: count(m, i)))
-    return F.when(is_blank(text), zeros(dimension)).otherwise(let(counts, normalize).cast("array<float>"))
+    """Word counts in ``dimension`` buckets of the words' md5, normalised; zeros for blank text.
+
+    Buckets are made in the JVM, by its rules for words; counting them is one numpy pass over a batch, since built-in functions
+    would go through the words, or copy the vector, once for every bucket or word.
+    """
+
+    @F.arrow_udf("array<float>")
+    def counted(buckets: pa.Array) -> pa.Array:
+        flat, ends = buckets.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(buckets), 0).to_numpy())])
+        out = np.empty((len(buckets), dimension), np.float32)
+        step = max(1, CELLS // dimension)
+        for i in range(0, len(buckets), step):
+            j = min(len(buckets), i + step)
+            row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+            counts = np.bincount(row * dimension + flat[ends[i] : ends[j]], minlength=(j - i) * dimension).reshape(j - i, dimension).astype(np.float64)
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            out[i:j] = counts / np.where(norms == 0, 1.0, norms)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1) * dimension, pa.int32()), pa.array(out.ravel()))
+
+    return counted(F.transform(words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int")))
 
 
 class HashEmbedder:
-    """Deterministic vectors without a model; stays in the JVM."""
+    """Deterministic vectors without a model."""
 
     def __init__(self, dimension: int = 384) -> None:
         self.name, self.dimension = f"hash-{dimension}", dimension

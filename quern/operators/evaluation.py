@@ -8,6 +8,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable
 from .assembly import judge_prompt, zero_shot_prompt
 from .inference import Inference, judged
 
@@ -31,18 +32,19 @@ def accuracy(answers: DataFrame, answer: str = "response", expected: str = "expe
 
 
 def grounding(answers: DataFrame, llm: Inference, question: str = "question", context: str = "context", answer: str = "answer") -> DataFrame:
-    """``answers`` with score and reason by a judge; without context the score is 0 and nobody is asked."""
-    rows = answers.withColumn("_judge", F.when(F.coalesce(F.length(context), F.lit(0)) > 0, judge_prompt(F.col(question), F.col(context), F.col(answer))))
+    """``answers``, computed once, with score and reason by a judge; without context the score is 0 and nobody is asked."""
+    rows = durable(answers.withColumn("_judge", F.when(F.coalesce(F.length(context), F.lit(0)) > 0, judge_prompt(F.col(question), F.col(context), F.col(answer)))))
     asked = llm.generate(rows.where("_judge is not null").select("_judge").distinct(), "_judge").select(F.col("_judge").alias("_asked"), judged(F.col("response")).alias("_verdict"))
     met = rows.join(asked, F.col("_judge") == F.col("_asked"), "left")
     return met.select(*answers.columns, F.coalesce("_verdict.score", F.lit(0.0)).alias("score"), F.coalesce("_verdict.reason", F.lit("")).alias("reason"))
 
 
 def compare_grounding(questions: DataFrame, llm: Inference) -> DataFrame:
-    """questions: (question, context, answer). Scores of that answer and of one without context, and their difference."""
-    bare = llm.generate(questions.select("question", "context", zero_shot_prompt(F.col("question")).alias("_prompt")), "_prompt").select("question", "context", F.col("response").alias("answer"))
-    without = grounding(bare, llm).select("question", F.col("answer").alias("bare_answer"), F.col("score").alias("bare_score"))
-    return grounding(questions, llm).join(without, "question").withColumn("improvement", F.col("score") - F.col("bare_score"))
+    """questions: (question, context, answer). Each row with the scores of its answer and of one without context, and their difference; equal questions stay rows of their own."""
+    bare = llm.generate(questions.select("question", "context", "answer", zero_shot_prompt(F.col("question")).alias("_prompt")), "_prompt")
+    told = grounding(bare.select("question", "context", "answer", F.col("response").alias("bare_answer")), llm)
+    both = grounding(told.withColumnsRenamed({"score": "_score", "reason": "_reason"}), llm, answer="bare_answer")
+    return both.select("question", "context", "answer", F.col("_score").alias("score"), F.col("_reason").alias("reason"), "bare_answer", F.col("score").alias("bare_score")).withColumn("improvement", F.col("score") - F.col("bare_score"))
 
 
 def latency(retrieve, ask, n: int = 5) -> dict:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
 RESULT = "response string, model string, tokens_used struct<prompt:int,completion:int,total:int>, latency_ms double, provider string"
 #: Default models (fixed values).
 MODELS = {
@@ -25,8 +29,8 @@ BLOCKED, NO_RESPONSE = "[Blocked by safety filter or other candidate issue]", "[
 
 
 class Client(Protocol):
-    def __call__(self, prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int]:
-        """The response, and the tokens of prompt and completion."""
+    def __call__(self, prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int] | tuple[str, int, int, int]:
+        """The response, the tokens of prompt and completion, and in all where the provider counts these itself."""
 
 
 def extractive(model: str, settings: dict) -> Client:
@@ -92,7 +96,7 @@ def gemini(model: str, settings: dict) -> Client:
     api.configure(api_key=key)
     client = api.GenerativeModel(model)
 
-    def call(prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int]:
+    def call(prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int, int]:
         try:
             r = client.generate_content(prompt, generation_config={"max_output_tokens": max_tokens, "temperature": temperature})
             usage = getattr(r, "usage_metadata", None)
@@ -100,7 +104,7 @@ def gemini(model: str, settings: dict) -> Client:
                 text = r.text
             except ValueError:  # a response without text has been blocked, or is none
                 text = BLOCKED if r.candidates else NO_RESPONSE
-            return text, usage.prompt_token_count if usage else 0, usage.candidates_token_count if usage else 0
+            return (text, usage.prompt_token_count, usage.candidates_token_count, usage.total_token_count) if usage else (text, 0, 0, 0)
         except Exception as e:
             raise RuntimeError(f"Gemini generation failed: {e}") from e
 
@@ -146,16 +150,16 @@ class Inference:
 
     def generate_one(self, prompt: str, max_tokens: int = 1000, temperature: float = 0.7, client: Client | None = None) -> dict:
         began = time.perf_counter()
-        text, asked, answered = (client or self.client())(prompt, max_tokens, temperature)
-        used = {"prompt": int(asked), "completion": int(answered), "total": int(asked) + int(answered)}
+        text, asked, answered, *counted = (client or self.client())(prompt, max_tokens, temperature)
+        used = {"prompt": int(asked), "completion": int(answered), "total": int(counted[0] if counted else asked + answered)}
         return {"response": text, "model": self.model, "tokens_used": used, "latency_ms": (time.perf_counter() - began) * 1000, "provider": self.provider}
 
     def generate_one_with_retry(self, prompt: str, max_retries: int = 3, backoff: float = 1.0, **options) -> dict:
         return with_retry(lambda: self.generate_one(prompt, **options), max_retries, backoff)
 
     def generate(self, prompts: DataFrame, prompt: str = "prompt", max_tokens: int = 1000, temperature: float = 0.7, max_retries: int = 1, backoff: float = 1.0, batch: int = 64) -> DataFrame:
-        """``prompts`` with the columns of ``RESULT``. Equal prompts are asked once. Write the result before using it twice: a plan that runs again asks again."""
-        me = self
+        """``prompts``, computed once, with the columns of ``RESULT``. Equal prompts are asked once. Write the result before using it twice: a plan that runs again asks again."""
+        me, prompts = self, durable(prompts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             client = None
@@ -194,9 +198,21 @@ def error_class(message: Column, retries: Column) -> Column:
     return F.struct(F.coalesce(limited | lost, F.lit(False)).alias("should_retry"), wait.alias("wait_time"), message.alias("message"))
 
 
+def read_verdict(answer: str | None) -> tuple[float, str | None]:
+    """Score and reason of a judge's answer: code fences go, the rest is JSON; what can't be read scores 0 with the error as reason."""
+    try:
+        data = json.loads(re.sub(r"```json\n?|\n?```", "", answer))
+        reason = data.get("reason", "")
+        return float(data.get("score", 0.0)), reason if reason is None or isinstance(reason, str) else json.dumps(reason)
+    except Exception as e:
+        return 0.0, f"Error calculating score: {e}"
+
+
 def judged(response: Column) -> Column:
-    """struct<score, reason> of a judge's answer: code fences go, the rest is JSON; what can't be read scores 0 with a reason."""
-    bare = F.regexp_replace(response, "```json\n?|\n?```", "")
-    data = F.from_json(bare, "score double, reason string, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-    bad = data.isNull() | data["_bad"].isNotNull() | ~F.coalesce(F.trim(bare).startswith("{"), F.lit(False))
-    return F.struct(F.when(bad, 0.0).otherwise(F.coalesce(data["score"], F.lit(0.0))).alias("score"), F.when(bad, F.lit("Error calculating score")).otherwise(F.coalesce(data["reason"], F.lit(""))).alias("reason"))
+    """struct<score, reason> of a judge's answer; read in Python, where the answer was made, since JSON's errors are part of it."""
+
+    @F.pandas_udf("score double, reason string")
+    def verdicts(answers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_verdict(x) for x in answers], columns=["score", "reason"])
+
+    return verdicts(response)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize
+from ..storage import create_text, exists, list_names, read_text, replace_text
 
 SCHEMA = "batch_id string, doc_id long, position int, chunk_id string, text string, source string, file_type string, extension string, word_count int, char_count int, embedding array<float>, extra map<string,string>"
 METRICS = ("L2", "cosine")
@@ -38,8 +39,9 @@ class Memory:
 
     @cached_property
     def indexed(self) -> DataFrame:
-        """The table with idx: a sortable key of batch, document and position."""
-        return self.table.withColumn("idx", F.concat_ws("|", "batch_id", F.lpad(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string"), 20, "0"), F.lpad(F.coalesce(F.col("position"), F.lit(0)).cast("string"), 9, "0"), "chunk_id"))
+        """The table with idx: a sortable key of batch, document and position, and of the chunk itself where these are missing."""
+        content = F.hex(F.xxhash64("text", "source"))
+        return self.table.withColumn("idx", F.concat_ws("|", "batch_id", F.lpad(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string"), 20, "0"), F.lpad(F.coalesce(F.col("position"), F.lit(0)).cast("string"), 9, "0"), F.when(F.col("doc_id").isNull() | F.col("chunk_id").isNull(), content).otherwise(F.col("chunk_id"))))
 
     def statistics(self) -> DataFrame:
         return self.table.agg(F.count("*").alias("total_chunks")).withColumns({"dimension": F.lit(self.dimension), "index_type": F.lit(self.metric)})
@@ -52,41 +54,39 @@ class Memory:
         """Writes a new version below ``path`` and then names it in config.json, so a reader always finds a whole one."""
         version = f"v-{uuid.uuid4().hex}"
         self.table.write.parquet(f"{path}/{version}")
-        _write_text(self.spark, f"{path}/config.json", json.dumps({"dimension": self.dimension, "index_type": self.metric, "batches": self.batches, "versions": [version]}))
+        replace_text(self.spark, f"{path}/config.json", json.dumps({"dimension": self.dimension, "index_type": self.metric, "batches": self.batches, "version": version}))
         return version
 
     def append(self, path: str, chunks: DataFrame) -> Memory:
-        """Appends chunks to a saved memory: writes the new rows only."""
+        """Appends chunks to a saved memory: writes the new rows only.
+
+        Each append first claims the next number with a file that only one writer can make, so appends at the same
+        time all count; a number whose rows were never finished is left out.
+        """
         config = _config(self.spark, path)
-        grown = Memory(self.spark, self.dimension, self.metric, batches=config["batches"]).add(chunks)
+        log = f"{path}/log-{config['version']}"
+        n = len(list_names(self.spark, log))
+        while not create_text(self.spark, f"{log}/{n:09d}", ""):
+            n += 1
         version = f"v-{uuid.uuid4().hex}"
-        grown.table.write.parquet(f"{path}/{version}")
-        config |= {"batches": grown.batches, "versions": [*config["versions"], version]}
-        _write_text(self.spark, f"{path}/config.json", json.dumps(config))
+        Memory(self.spark, config["dimension"], config["index_type"], batches=config["batches"] + n).add(chunks).table.write.parquet(f"{path}/{version}")
+        replace_text(self.spark, f"{log}/{n:09d}", version)
         return Memory.load(self.spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Memory:
-        """The saved memory; its dimension and metric are the saved ones."""
+        """The saved memory with all finished appends; its dimension and metric are the saved ones."""
         config = _config(spark, path)
-        table = spark.read.schema(SCHEMA).parquet(*[f"{path}/{v}" for v in config["versions"]])
-        return cls(spark, config["dimension"], config["index_type"], table, config["batches"])
+        log = f"{path}/log-{config['version']}"
+        names = list_names(spark, log)
+        added = [v for v in (read_text(spark, f"{log}/{name}") for name in names) if v]
+        table = spark.read.schema(SCHEMA).parquet(*[f"{path}/{v}" for v in [config["version"], *added]])
+        return cls(spark, config["dimension"], config["index_type"], table, config["batches"] + len(names))
 
     @staticmethod
     def exists(spark: SparkSession, path: str) -> bool:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/config.json")
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return exists(spark, f"{path}/config.json")
 
 
 def _config(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/config.json", wholetext=True).first()[0])
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, by Hadoop, on any file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+    return json.loads(read_text(spark, f"{path}/config.json"))

@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, word_set
-
-
-def _durable(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return df.checkpoint()
+from ..storage import durable
 
 
 def _sets(items: DataFrame, pos: str, text: str) -> DataFrame:
@@ -36,7 +26,7 @@ def similar_pairs(items: DataFrame, threshold: float = 0.8, pos: str = "pos", te
     Each set is joined on its rarest words only: sets over the threshold share one of their first
     size - ceil(threshold * size) + 1 words by global frequency.
     """
-    sets = _durable(_sets(items, pos, text).where(F.size("w") > 0).groupBy("key").agg(F.min("pos").alias("pos"), F.first("w").alias("w")).select("pos", "w", F.size("w").alias("n")))
+    sets = durable(_sets(items, pos, text).where(F.size("w") > 0).groupBy("key").agg(F.min("pos").alias("pos"), F.first("w").alias("w")).select("pos", "w", F.size("w").alias("n")))
     words = sets.select("pos", "n", F.explode("w").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("df"))
     ordered = words.join(often, "word").groupBy("pos", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
@@ -55,14 +45,14 @@ def deduplicate_table(items: DataFrame, threshold: float = 0.8, pos: str = "pos"
     An undecided item is kept once all its earlier neighbours are dropped, and dropped once one of them is
     kept; the rounds are checkpointed and end when nothing is undecided.
     """
-    pairs = _durable(similar_pairs(items, threshold, pos, text))
-    members = _durable(representatives(items, pos, text))
-    state = _durable(members.where("pos = first").select("pos", F.lit(None).cast("boolean").alias("kept")))
+    pairs = durable(similar_pairs(items, threshold, pos, text))
+    members = durable(representatives(items, pos, text))
+    state = durable(members.where("pos = first").select("pos", F.lit(None).cast("boolean").alias("kept")))
     while True:
         earlier = pairs.join(state.select(F.col("pos").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy(F.col("b").alias("pos"))
         seen = earlier.agg(F.max(F.coalesce("a_kept", F.lit(False))).alias("any_kept"), F.max(F.col("a_kept").isNull()).alias("any_open"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("any_kept", F.lit(False)), False).when(F.coalesce("any_open", F.lit(False)), None).otherwise(True)
-        state = _durable(state.join(seen, "pos", "left").select("pos", new.alias("kept")))
+        state = durable(state.join(seen, "pos", "left").select("pos", new.alias("kept")))
         if state.where("kept is null").isEmpty():
             break
     return members.join(state.withColumnRenamed("pos", "first"), "first").select("pos", ((F.col("pos") == F.col("first")) & F.col("kept")).alias("kept"))

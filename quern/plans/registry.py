@@ -5,7 +5,6 @@ Searches take as queries every vector whose id is divisible by 20, against all v
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_ws, preview, words
 from ..functions.vectors import norm, normalize
-from ..operators import assembly, evaluation, near_duplicates, retrieval
+from ..operators import assembly, evaluation, near_duplicates, recall, retrieval
 from ..operators.chunking import chunk_by_sentences, chunk_by_words, ingest_stats
 from ..operators.embedding import HashEmbedder
 from ..operators.inference import Inference, error_class, judged
 from ..operators.memory import Memory
 from ..sources.files import with_file_metadata
 from ..sources.synthetic import fact_document, facts, questions
+from ..storage import delete, durable, shared_dir
 from ..streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,21 +380,41 @@ def error_classification(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", classed.alias("e")).select("event_id", "e.*")
 
 
-@query("""
-with e as (select event_id, event_id % 4 as kind, (event_id % 11) / 10.0::double as s from events)
-select event_id, (case when kind = 3 then 0.0 when kind = 2 then 0.0 else s end)::double as score, case when kind = 3 then 'Error calculating score' when kind = 1 then '' else 'because' end as reason from e""")
+_VERDICTS = [
+    ('```json\n{"score": 0.4, "reason": "because"}\n```', 0.4, "because"),
+    ('{"score": 0.75}', 0.75, ""),
+    ('{"reason": "because"}', 0.0, "because"),
+    ("not json", 0.0, "Error calculating score: Expecting value: line 1 column 1 (char 0)"),
+    ('{"score": "0.8", "reason": "as text"}', 0.8, "as text"),
+    ('{"score": 1.0} and more', 0.0, "Error calculating score: Extra data: line 1 column 16 (char 15)"),
+    ('{"score": "high"}', 0.0, "Error calculating score: could not convert string to float: 'high'"),
+]
+_SCORES, _REASONS = [v[1] for v in _VERDICTS], ", ".join("'" + v[2].replace("'", "''") + "'" for v in _VERDICTS)
+
+
+@query(f"select event_id, ({_SCORES!r})[event_id % {len(_VERDICTS)} + 1]::double as score, ([{_REASONS}])[event_id % {len(_VERDICTS)} + 1] as reason from events")
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
-    s = (F.col("event_id") % 11 / 10).cast("double").cast("string")
-    kind = F.col("event_id") % 4
-    answer = (
-        F.when(kind == 0, F.concat(F.lit('```json\n{"score": '), s, F.lit(', "reason": "because"}\n```')))
-        .when(kind == 1, F.concat(F.lit('{"score": '), s, F.lit("}")))
-        .when(kind == 2, F.lit('{"reason": "because"}'))
-        .otherwise(F.lit("not json"))
-    )
+    answer = F.element_at(F.array(*[F.lit(v[0]) for v in _VERDICTS]), (F.col("event_id") % len(_VERDICTS) + 1).cast("int"))
     return table(spark, d, "events").select("event_id", judged(answer).alias("j")).select("event_id", "j.score", "j.reason")
 
 
+@query("""
+select conv_id, turn, case when text = '' then 0.0 when turn % 2 = 0 then 0.5 else 0.0 end::double as score, 0.0::double as bare_score, case when text = '' then 0.0 when turn % 2 = 0 then 0.5 else 0.0 end::double as improvement
+from conversations""")
+def grounding_improvement(spark: SparkSession, d: str) -> DataFrame:
+    """A judge that trusts answers from even turns by half and answers without context not at all; many rows ask the same question."""
+
+    def judge(prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int]:
+        if prompt.startswith("Question:"):
+            return "no idea", 1, 1
+        return ('{"score": "0.5", "reason": "half"}' if "ANSWER: even" in prompt else '{"score": 0}'), 1, 1
+
+    rows = table(spark, d, "conversations").select(F.lit("What was said?").alias("question"), "text", F.concat(F.when(F.col("turn") % 2 == 0, "even ").otherwise("odd "), "conv_id", F.lit("|"), "turn").alias("answer"))
+    told = evaluation.compare_grounding(rows.withColumnRenamed("text", "context"), Inference("judge", client=judge))
+    at = F.split(F.split("answer", " ")[1], "[|]")
+    return told.select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "score", "bare_score", "improvement")
+
+
 @query("""
 select i::bigint as pos, 'What is the secret color of ' || (['Xylon', 'Zarcon', 'Quilp', 'Moxie', 'Vortex', 'Blinker', 'Jolt', 'Flux', 'Glint', 'Snark'])[i % 10 + 1] || '?' as question,
   (['Crimson', 'Azure', 'Emerald', 'Amber', 'Indigo', 'Teal', 'Violet', 'Ochre', 'Cyan', 'Magenta'])[i % 10 + 1] as expected from range(25) t(i)""")
@@ -409,36 +429,129 @@ def synthetic_document(spark: SparkSession, d: str) -> DataFrame:
     return fact_document(facts(spark, 10))
 
 
-def _shared(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
 @query(_chunks_sql(200, 150, "doc_id, position, text"))
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     source = streaming.read_documents(spark, f"{d}/documents.parquet" if folder else d, "doc_id long, text string", None if folder else "documents.parquet")
-    out = _shared(spark)
+    out = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
     streaming.ingest(streaming.chunk_stream(source, 200, 50), f"{out}/chunks", f"{out}/log").awaitTermination()
     return spark.read.schema("doc_id long, text string, position int, chunk_id string, word_count int, char_count int").parquet(f"{out}/chunks").select("doc_id", "position", "text")
 
 
-@query()  # a generator, tested by itself
+def _answered(prompts: str, key: str) -> str:
+    """SQL of the offline generator's answers: the first line below the first header, or the last line."""
+    ws, cut = r"\s+", "chr(10) || '[Source: '"
+    split = lambda x: f"list_filter(string_split_regex({x}, '{ws}'), lambda w: w <> '')"
+    return f"""
+a as (select {key}, prompt, {split(f"case when contains(prompt, {cut}) then string_split(substring(prompt, strpos(prompt, {cut}) + 10), chr(10))[2] else string_split(prompt, chr(10))[-1] end")} as w, len({split("prompt")}) as n from {prompts}
+), answered as (select {key}, prompt, array_to_string(w[1:1000], ' ') as response, n::int as prompt_tokens, least(len(w), 1000)::int as completion from a)"""
+
+
+@query(f"with p as ({_filled('default')}), {_answered('p', 'query_id')} select query_id, response, 'first-context-line' as model, prompt_tokens as prompt, completion, prompt_tokens + completion as total, 'extractive' as provider from answered")
 def generate_extractive(spark: SparkSession, d: str) -> DataFrame:
     return Inference().generate(_prompts(spark, d, "default")).select("query_id", "response", "model", "tokens_used.prompt", "tokens_used.completion", "tokens_used.total", "provider")
 
 
-@query()  # all stages at once; each has its own check
+@query("""
+select conv_id, turn, 're: ' || coalesce(text, '') as response, 'm' as model, length(coalesce(text, ''))::int as prompt, 1 as completion, (length(coalesce(text, '')) + 3)::int as total, 'mocked' as provider from conversations""")
+def generate_mocked(spark: SparkSession, d: str) -> DataFrame:
+    """A client that counts its tokens in all itself, as some providers do."""
+    llm = Inference("Mocked", "m", client=lambda prompt, max_tokens, temperature: (f"re: {prompt}", len(prompt), 1, len(prompt) + 3))
+    asked = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt"))
+    return llm.generate(asked.withColumnRenamed("prompt", "asked"), "asked").select("conv_id", "turn", "response", "model", "tokens_used.prompt", "tokens_used.completion", "tokens_used.total", "provider")
+
+
+def _hashed(rows: str, key: str) -> str:
+    """SQL of the parts (key, at, n) and lengths of hashed vectors of the texts of ``rows``."""
+    return f"""
+{rows}_b as (select {key}, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int as "at", count(*)::double as n from (select {key}, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as w from {rows}) group by all
+), {rows}_n as (select {key}, sqrt(sum(n * n)) as len from {rows}_b group by all)"""
+
+
+def _found(least: float, k: int) -> str:
+    """SQL of ``found``: (query_id, idx, rank, score) of questions q (query_id, text) among chunks ch (idx, text)."""
+    return f"""
+{_hashed("ch", "idx")}, {_hashed("q", "query_id")}, s as (
+  select query_id, idx, sum(q_b.n * ch_b.n) / any_value(q_n.len) / any_value(ch_n.len) as score from q_b join ch_b on q_b."at" = ch_b."at" join q_n using (query_id) join ch_n using (idx) group by 1, 2
+), found as (select * from (select *, row_number() over (partition by query_id order by round(score, 6) desc, idx) - 1 as rank from s) where rank < {k} and score >= {least})"""
+
+
+_CHUNKED = _chunks_sql(200, 150, "doc_id, position, text").strip().removeprefix("with ")
+_CHUNKED = _CHUNKED[: _CHUNKED.rindex("select ")]
+
+
+def _prompted(least: float, k: int, packed: str = "") -> str:
+    """SQL of the prompts p (query_id, prompt) from ``found`` and the chunks' texts and sources."""
+    head, middle, tail = ("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in assembly.TEMPLATES["default"])
+    return f"""
+{_found(least, k)}, f as (select found.*, text, source from found join ch using (idx)
+), g as (select *, sum(length(text)) over w as upto, row_number() over w - 1 as packed from f window w as (partition by query_id order by round(score, 6) desc, rank rows unbounded preceding)
+), k as (select query_id, packed, score, source, case when upto > 4000 then substring(text, 1, 4000) else text end as text from g where upto <= 4000 or upto = length(text)
+), x as (select query_id, string_agg('[Source: ' || coalesce(source, 'Document ' || (packed + 1)) || ' (.txt) - Score: ' || round_even(score::decimal(38, 18), 3)::decimal(38, 3) || ']' || chr(10) || text, chr(10) || chr(10) order by packed) as context from k group by query_id
+), p as (select query_id, {head} || coalesce(context, '') || {middle} || text || {tail} as prompt from q left join x using (query_id))"""
+
+
+_ENDED = f"""
+with {_CHUNKED}, ch as (select lpad(t.doc_id::varchar, 20, '0') || '|' || lpad(position::varchar, 9, '0') as idx, t.text, source from t join documents using (doc_id)
+), q as (select item_id as query_id, text from benchmark), {_prompted(0.1, 5)}, {_answered("p", "query_id")}
+select query_id, prompt, response, 'extractive' as provider from answered"""
+
+
+@query(_ENDED)
 def query_end_to_end(spark: SparkSession, d: str) -> DataFrame:
-    """Documents to chunks to vectors; every benchmark text as a question: its five nearest chunks, a packed prompt, an answer."""
-    embedder = HashEmbedder(64)
+    """Documents to chunks to vectors, saved as a memory; every benchmark text as a question: its five nearest chunks, a packed prompt, an answer."""
+    embedder, folder = HashEmbedder(64), f"{shared_dir(spark)}/quern-memory-{uuid.uuid4().hex}"
     docs = spread(table(spark, d, "documents").select("doc_id", "text", "source")).withColumns({"file_type": F.lit("text"), "extension": F.lit("txt")})
-    memory = Memory(spark, 64, "cosine").add(embedder.embed(chunk_by_words(docs, 200, 50)))
+    Memory(spark, 64, "cosine").add(embedder.embed(chunk_by_words(docs, 200, 50))).save(folder)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    vectors = embedder.embed(asked).select("query_id", F.col("embedding").alias("qvec"))
-    found = retrieval.retrieve(memory.indexed, vectors, 5, 0.1, payload=["text", "source", "extension"])
-    prompts = assembly.assemble_prompts(asked, found)
-    return Inference().generate(prompts).select("query_id", "prompt", "response", "provider")
+    found = retrieval.Retriever(Memory.load(spark, folder), embedder, 5, 0.1, ["text", "source", "extension"]).retrieve(asked)
+    answers = durable(Inference().generate(assembly.assemble_prompts(asked, found)).select("query_id", "prompt", "response", "provider"))
+    delete(spark, folder)
+    return answers
+
+
+_DEMO = f"""
+with facts as (
+  select i as query_id, (['Xylon', 'Zarcon', 'Quilp', 'Moxie', 'Vortex', 'Blinker', 'Jolt', 'Flux', 'Glint', 'Snark'])[i % 10 + 1] as name, (['Crimson', 'Azure', 'Emerald', 'Amber', 'Indigo', 'Teal', 'Violet', 'Ochre', 'Cyan', 'Magenta'])[i % 10 + 1] as color from range(10) t(i)
+), documents as (
+  select 0 as doc_id, string_agg(repeat('filler ', 50) || 'The secret color of ' || name || ' is ' || color || '.' || repeat(' filler', 50), ' ' order by query_id) as text from facts
+), {_CHUNKED}, ch as (select lpad(position::varchar, 9, '0') as idx, text, 'test_doc' as source from t
+), q as (select query_id, 'What is the secret color of ' || name || '?' as text from facts), {_prompted(0.1, 2)}, {_answered("p", "query_id")}
+, r as (select count(*) filter (where contains(lower(response), lower(color))) as correct, count(*) as total from answered join facts using (query_id))
+select 'direct' as flow, 0.0::double as accuracy, 0::bigint as correct, 10::bigint as total, 0.0::double as improvement
+union all select 'retrieval', correct / total::double, correct, total, round(correct / total::double, 9) from r"""
+
+
+@query(_DEMO)  # the offline generator finds no context in the direct prompt and repeats its last line, which names no color
+def recall_demo(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall_demo(spark, HashEmbedder(64), Inference())
+
+
+@query(_chunks_sql(200, 150, "doc_id, position, text"))
+def memory_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Saved, appended to twice and loaded again."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    part = lambda i: chunk_by_words(docs.where(F.pmod("doc_id", F.lit(3)) == i), 200, 50).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    folder = f"{shared_dir(spark)}/quern-memory-{uuid.uuid4().hex}"
+    Memory(spark, 2, "L2").add(part(0)).save(folder)
+    Memory.load(spark, folder).append(folder, part(1))
+    grown = durable(Memory.load(spark, folder).append(folder, part(2)).table.select("doc_id", "position", "text"))
+    delete(spark, folder)
+    return grown
+
+
+@query(f"""
+with ch as (select conv_id * 1000 + turn as idx, text, conv_id, turn from conversations where text <> ''
+), asked as (select item_id % 5 as group_id, item_id as qpos, text from benchmark
+), q as (select qpos as query_id, text from asked), {_found(0.0, 3)}, f as (select group_id, qpos, found.rank, round(found.score, 6) as score, ch.text from found join asked on qpos = query_id join ch using (idx)
+), u as (select *, row_number() over (partition by group_id, text order by score desc, qpos, rank) as n from f
+), m as (select *, row_number() over (partition by group_id order by score desc, qpos, rank) - 1 as merged_rank from u where n = 1)
+select group_id, merged_rank::int as merged_rank, score + 0.0 as score, text from m where merged_rank < 3""")
+def retriever_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of benchmark texts as queries over the turns of conversations, with the retriever's defaults."""
+    embedder = HashEmbedder(64)
+    turns = table(spark, d, "conversations").where("text <> ''").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lit(0).alias("position"), "text", F.col("turn").cast("string").alias("chunk_id"))
+    memory = Memory(spark, 64, "cosine").add(embedder.embed(turns))
+    asked = table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("group_id"), F.col("item_id").alias("qpos"), "text")
+    return _rounded(retrieval.Retriever(memory, embedder).retrieve_multi_query(asked)).select("group_id", "merged_rank", "score", "text")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []  # of local sessions without spark.checkpoint.dir
@@ -48,6 +49,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files of a folder, in order; none if there is no folder. Those that begin with a dot are left out."""
+    system, p = _hadoop(spark, path)
+    if not system.exists(p):
+        return []
+    return sorted(name for x in system.listStatus(p) if not (name := x.getPath().getName()).startswith("."))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, p = _hadoop(spark, path)
+    stream = system.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file that wasn't there; False if it was."""
+    system, p = _hadoop(spark, path)
+    system.mkdirs(p.getParent())
+    try:
+        out = system.create(p, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or system.exists(p):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, written aside and renamed, so that a reader finds the old or the new one whole."""
     system, p = _hadoop(spark, path)

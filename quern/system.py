@@ -12,7 +12,7 @@ from .operators.chunking import check_sizes, chunk_by_words, ingest_stats
 from .operators.embedding import Embedder, embedder_for
 from .operators.inference import Inference
 from .operators.memory import Memory
-from .operators.retrieval import retrieve
+from .operators.retrieval import Retriever
 from .sources.config import Config, load_config
 from .sources.files import DOCUMENT, ingestable
 
@@ -54,12 +54,24 @@ class MemorySystem:
         row = self.ingest(docs).first().asDict()
         return _result(row, row["source"])
 
+    @property
+    def retriever(self) -> Retriever:
+        return Retriever(self.memory, self.embedder, self.config.top_k, self.config.similarity_threshold, PAYLOAD)
+
     def retrieve(self, queries: DataFrame, k: int | None = None, threshold: float | None = None) -> DataFrame:
         """Results of many queries (query_id, text), with the chunks' columns."""
-        vectors = self.embedder.embed(queries.withColumn("query_id", F.col("query_id").cast("long"))).select("query_id", F.col("embedding").alias("qvec"))
-        k = self.config.top_k if k is None else k
-        threshold = self.config.similarity_threshold if threshold is None else threshold
-        return retrieve(self.memory.indexed, vectors, k, threshold, self.memory.metric, payload=PAYLOAD)
+        return self.retriever.retrieve(queries, k, threshold)
+
+    def retrieve_multi_query(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """Per group of queries (group_id, qpos, text) the best results of all together, each text once."""
+        return self.retriever.retrieve_multi_query(queries, k)
+
+    def deduplicate(self, results: DataFrame, threshold: float = 0.8) -> DataFrame:
+        """Results without those whose words are nearly those of a better one of their query."""
+        return self.retriever.deduplicate(results, threshold)
+
+    def explain(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        return self.retriever.explain(queries, k)
 
     def ask(self, queries: DataFrame, k: int | None = None, template: str = "default") -> DataFrame:
         """(query_id, prompt, response, ...) of many queries (query_id, text)."""
@@ -68,8 +80,9 @@ class MemorySystem:
 
     def query(self, question: str, k: int | None = None, return_context: bool = False, template: str = "default") -> dict:
         queries = self.spark.createDataFrame([(0, question)], "query_id long, text string")
-        found = self.retrieve(queries, k).orderBy("rank").collect()  # k rows
-        kept = self.spark.createDataFrame(found, self.retrieve(queries, k).schema)
+        results = self.retrieve(queries, k)
+        found = results.orderBy("rank").collect()  # k rows
+        kept = self.spark.createDataFrame(found, results.schema)
         prompt = assemble_prompts(queries, kept, template, self.config.max_context).first().prompt
         answer = self.llm.generate_one(prompt, self.config.max_tokens, self.config.temperature)
         sources = [{"text": r.text, "score": r.score, "rank": r["rank"], "metadata": {c: r[c] for c in PAYLOAD[1:] if r[c] is not None}} for r in found]

@@ -3,12 +3,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern import cli
+from quern import cli, storage
 from quern.log import operation
 from quern.operators.assembly import assemble_prompts, citations, conversational_prompts, truncate_to_fit
 from quern.operators.embedding import HashEmbedder
 from quern.operators.evaluation import Report, accuracy, compare_grounding, grounding, hit_rate, latency
-from quern.operators.inference import Inference, error_class, judged, with_retry
+from quern.operators.inference import Inference, error_class, judged, read_verdict, with_retry
+from quern.operators.memory import Memory
+from quern.operators.recall import direct_recall, recall_demo
+from quern.operators.retrieval import retrieve
 from quern.sources.config import Config, load_config
 from quern.sources.files import extension, file_type, pdf_files, text_files
 from quern.sources.synthetic import fact_document, facts, questions
@@ -86,7 +89,20 @@ def test_error_classes_and_judge(spark):
     texts = ['```json\n{"score": 0.5, "reason": "r"}\n```', '{"reason": "r"}', "no", "", None, '{"score": 1']
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(judged(F.col("t")).alias("j")).collect()
     assert [r.j.score for r in rows] == [0.5, 0.0, 0.0, 0.0, 0.0, 0.0]
-    assert rows[0].j.reason == "r" and rows[2].j.reason == "Error calculating score"
+    assert rows[0].j.reason == "r" and rows[2].j.reason == "Error calculating score: Expecting value: line 1 column 1 (char 0)"
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [('{"score": "0.8"}', (0.8, "")), ('{"score": 1.0} trailing words', (0.0, "Error calculating score: Extra data: line 1 column 16 (char 15)")), ('```json\n{"score": 1, "reason": null}```', (1.0, None)), ("[1]", (0.0, "Error calculating score: 'list' object has no attribute 'get'"))],
+)
+def test_verdicts(answer, want):
+    assert read_verdict(answer) == want
+
+
+def test_a_provider_that_counts_its_tokens():
+    assert Inference("p", client=lambda p, m, t: ("x", 2, 3, 9)).generate_one("q")["tokens_used"] == {"prompt": 2, "completion": 3, "total": 9}
+    assert Inference("p", client=lambda p, m, t: ("x", 2, 3)).generate_one("q")["tokens_used"]["total"] == 5
 
 
 def test_evaluation(spark, tmp_path):
@@ -101,6 +117,8 @@ def test_evaluation(spark, tmp_path):
     rows = spark.createDataFrame([("q1", "c", "good"), ("q2", "", "good")], "question string, context string, answer string")
     assert {r.question: (r.score, r.reason) for r in grounding(rows, judge).collect()} == {"q1": (1.0, "ok"), "q2": (0.0, "")}
     assert {r.question: r.improvement for r in compare_grounding(rows, judge).collect()} == {"q1": 0.75, "q2": 0.0}
+    same = spark.createDataFrame([("q", "c", "good"), ("q", "c", "bad"), ("q", "d", "bad")], "question string, context string, answer string")
+    assert sorted((r.context, r.answer, r.improvement) for r in compare_grounding(same, judge).collect()) == [("c", "bad", 0.0), ("c", "good", 0.75), ("d", "bad", 0.0)]
     assert set(latency(lambda: None, lambda: {"latency_ms": 3}, 2)) == {"avg_retrieval_ms", "avg_llm_ms", "total_latency_ms"}
     report = Report()
     report.results["efficiency"] = {"avg_llm_ms": 3}
@@ -164,3 +182,46 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
     out = spark.read.parquet(f"file://{tmp_path}/out")
     assert sorted((r.doc_id, r.position, r.text) for r in out.collect()) == [(1, 0, "a b c"), (1, 1, "c d e"), (2, 0, "x y")]
     assert only_new(out, out.where("doc_id = 1")).count() == 1
+
+
+def test_memory_versions_and_appends_at_the_same_time(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    chunk = lambda i: spark.createDataFrame([(i, 0, f"text {i}", [float(i), 1.0])], "doc_id long, position int, text string, embedding array<float>")
+    Memory(spark, 2).add(chunk(0)).save(path)
+    log = f"{path}/log-{json.loads(storage.read_text(spark, f'{path}/config.json'))['version']}"
+    assert storage.create_text(spark, f"{log}/000000000", "") and not storage.create_text(spark, f"{log}/000000000", "x")  # a writer that never finished
+    a = Memory.load(spark, path)
+    assert a.table.count() == 1
+    Memory.load(spark, path).append(path, chunk(1))
+    grown = a.append(path, chunk(2))
+    assert [r.text for r in grown.indexed.orderBy("idx").collect()] == ["text 0", "text 1", "text 2"]
+    grown.add(chunk(3)).save(path)
+    assert Memory.load(spark, path).table.count() == 4
+    assert not list(tmp_path.glob("m/.config*")) or all(p.name.endswith(".crc") for p in tmp_path.glob("m/.config*"))
+
+
+def test_rows_without_ids_are_retrieved_once(spark):
+    rows = [(None, None, "one", [1.0, 0.0]), (None, None, "two", [0.9, 0.1]), (None, None, "two", [0.9, 0.1])]
+    memory = Memory(spark, 2, "cosine").add(spark.createDataFrame(rows, "doc_id long, position int, text string, embedding array<float>"))
+    found = retrieve(memory.indexed, spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, qvec array<float>"), 3, 0.0, payload=["text"])
+    assert sorted((r.query_id, r["rank"], r.text) for r in found.collect()) == [("q", 0, "one"), ("q", 1, "two"), ("q", 2, "two")]
+
+
+def test_recall_of_facts(spark):
+    rows = {r.flow: (r.accuracy, r.correct, r.total, r.improvement) for r in recall_demo(spark, HashEmbedder(64), Inference()).collect()}
+    assert rows["direct"] == (0.0, 0, 10, 0.0) and rows["retrieval"][2] == 10 and rows["retrieval"][3] == rows["retrieval"][0]
+    knows = Inference("k", client=lambda p, m, t: ("It is " + ("Crimson" if "Xylon?" in p else "unknown"), 1, 1))
+    assert direct_recall(fact_document(facts(spark, 10)), questions(facts(spark, 10)), knows).first().accuracy == 0.1
+
+
+def test_facade_merges_deduplicates_and_explains(spark, tmp_path):
+    config = Config(chunk_size=10, overlap=2, dimension=64, top_k=2, index_path=str(tmp_path / "index"))
+    system = MemorySystem(spark, config, HashEmbedder(64), auto_save=False)
+    for text in ("Paris is in France.", "The fox jumps over dogs.", "Paris is in France!"):
+        system.ingest_document(text)
+    merged = system.retrieve_multi_query(spark.createDataFrame([(1, 0, "Paris is in"), (1, 1, "fox jumps")], "group_id long, qpos long, text string"), 3).orderBy("merged_rank").collect()
+    assert len({r.text for r in merged}) == 3 and [r.merged_rank for r in merged] == [0, 1, 2]
+    asked = spark.createDataFrame([(1, "Paris is in France.")], "query_id long, text string")
+    assert system.retrieve(asked, 3, 0.5).count() == 2 and system.deduplicate(system.retrieve(asked, 3, 0.5)).count() == 1
+    told = system.explain(asked, 2).first()
+    assert told.embedding_norm == pytest.approx(1.0) and [x["rank"] for x in told.retrieved] == [0, 1]
