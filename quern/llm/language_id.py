@@ -1,14 +1,15 @@
 """Language identification by compression.
 
-Each language is a zstandard raw-content dictionary: cleaned text of a bounded, documented sample of labelled
-documents. A text is cut into blocks, each block is compressed with every language's dictionary, and the
-language with the smallest total wins; whole texts are encoded, long ones block by block, with zstandard's
-optimal parser, which still finds the dictionary's phrases in a text that repeats itself. A text too short
-to be compressed at all is encoded in front of a passage of the dictionary, whose own size is taken off.
+Each language is a zstandard raw-content dictionary: pieces from all over a bounded, documented sample of labelled
+documents. A text is cut into blocks; each block is compressed with every language's dictionary, in front of a passage
+of it whose own size is taken off, so that a block of any length is encoded alike. The language with the smallest total
+wins; whole texts are encoded, long ones block by block. Languages may be any number: their coders are held ``AT_ONCE`` at a
+time (64 KB of dictionary each go to every worker).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; documents with a null
-language teach nothing; equal sizes go to the language that sorts first and are rejected; without any
-labelled document everything is ``und``; other columns are never looked at.
+language or a blank text teach nothing; rows that repeat id and text teach once; equal sizes go to the language that
+sorts first and are rejected; without any labelled document everything is ``und``; an empty table gives no rows; other
+columns are never looked at and may have any names.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, packed, read, unpacked
-
-#: The bounded sample: documents of a language, code points of each, cleaned bytes of a dictionary, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 256, 2_000, 65_536, 128
-#: Bytes of a block: short enough that the dictionary and not the text's own start decides.
-BLOCK = 1_024
-LEVEL = 16
-#: Texts below so many bytes are encoded fast, in front of so many bytes of the dictionary.
-SHORT, SHORT_LEVEL, PAD = 200, 3, 600
+from .common import col, durable, packed, read, small_enough, unpacked
+
+#: The bounded sample: documents of a language, and the bytes that all of them give to its dictionary.
+SAMPLE_DOCS, DICTIONARY_BYTES = 256, 65_536
+#: A document's pieces, evenly spaced over its cleaned text: how many at most, and bytes of each.
+PIECES, PIECE = 16, 256
+#: Bytes of a block, and of the passage behind it: short enough that the dictionary and not the text's own start decides.
+BLOCK, PAD = 1_024, 600
+#: Lazy matching: of the levels tried the one that is right at every length (greedy ones lose long texts, optimal ones short ones).
+LEVEL = 9
+#: Languages whose coders are held at once, and samples and languages (some 50 bytes each) that are broadcast.
+AT_ONCE, BROADCAST_ROWS = 64, 500_000
 #: Relative distance of the two smallest sizes below which a text is rejected.
 MARGIN = 0.005
 
@@ -44,29 +48,44 @@ def clean(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
+def pieces(text: str) -> list[bytes]:
+    """Up to ``PIECES`` pieces of the cleaned text from its beginning to its end, in an order in which the first few are far apart."""
+    data = clean(text).encode()
+    n = min(PIECES, -(-len(data) // PIECE))
+    at = [(len(data) - PIECE) * i // (n - 1) if n > 1 else 0 for i in range(n)]
+    return [data[max(0, at[k]) : max(0, at[k]) + PIECE] for k in sorted(range(n), key=lambda i: (i * 7 + n // 2) % max(1, n))]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([pieces(t) for t in batch.column("text").to_pylist()], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), found], names=["lang", "h", "pieces"])
+
+
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary per language from the ``SAMPLE_DOCS`` documents whose id hashes lowest (a bounded sample; its size doesn't follow the input).
+    """A dictionary per language from the ``SAMPLE_DOCS`` different documents whose hash is lowest (a bounded sample; its size doesn't follow the input).
 
-    Languages are counted first; of each only documents whose hash is in a share of about four samples are
-    ranked, so what moves is bounded too.
+    Hashes are of id and text. Different ones are counted per language, and only those in the lowest share of about
+    four samples are ranked, so what moves is bounded too; a language with fewer is ranked whole.
     """
-    rows = labelled.where(col(lang_col).isNotNull() & (F.length(F.trim(col(text_col))) > 0)).select(col(lang_col).cast("string").alias("lang"), F.substring(col(text_col), 1, SAMPLE_CHARS).alias("text"), F.xxhash64(col(id_col).cast("string")).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES).collect()
-    if len(counts) >= MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES - 1} languages")
-    if not counts:
-        return {}
-    cuts = [(r.lang, int(-(1 << 63) + min(1.0, 4 * SAMPLE_DOCS / r.n) * ((1 << 64) - 2048))) for r in counts]
-    low = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(cuts, "lang string, cut bigint")), "lang").where("h <= cut")
-    order = W.partitionBy("lang").orderBy("h", "text")
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in low.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_DOCS).collect():
-        texts.setdefault(r.lang, []).append((r.rn, r.text))
+    kept = labelled.where(col(lang_col).isNotNull() & (F.length(F.trim(col(text_col))) > 0))
+    rows = kept.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"), F.xxhash64(col(id_col).cast("string"), col(text_col).cast("string")).alias("h"))
+    few = lambda df: F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    cuts = durable(counts.select("lang", (F.lit(-float(1 << 63)) + F.least(F.lit(1.0), 4 * SAMPLE_DOCS / F.col("n")) * F.lit(float((1 << 64) - 4096))).cast("bigint").alias("cut")))
+    low = rows.select("lang", "h").join(few(cuts), "lang").where("h <= cut").groupBy("lang", "h").agg(F.count("*").alias("n"))
+    ranked = low.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= SAMPLE_DOCS)
+    sample = durable(ranked.select("lang", "h"))
+    taught = rows.join(few(sample), ["lang", "h"]).mapInArrow(_pieces, "lang string, h bigint, pieces array<binary>").dropDuplicates(["lang", "h"])
+    texts: dict[str, list[tuple[int, list[bytes]]]] = {}
+    for r in taught.toLocalIterator():  # SAMPLE_DOCS x PIECES x PIECE bytes a language
+        texts.setdefault(r.lang, []).append((r.h, r.pieces))
     out = {}
     for lang in sorted(texts):
-        joined = " ".join(t for _, x in sorted(texts[lang]) if (t := clean(x))).encode()
+        documents = [p for _, p in sorted(texts[lang], key=lambda x: x[0])]
+        joined = b" ".join(p[i] for i in range(PIECES) for p in documents if i < len(p) and p[i])
         if joined:
-            out[lang] = joined[:DICTIONARY_BYTES]
+            out[lang] = bytes(joined[:DICTIONARY_BYTES])
     return out
 
 
@@ -86,40 +105,38 @@ class Coders:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         import zstandard as zstd
 
-        plain = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
-        fast = zstd.ZstdCompressionParameters.from_level(SHORT_LEVEL, **plain)
-        best = zstd.ZstdCompressionParameters(compression_level=LEVEL, min_match=3, strategy=zstd.STRATEGY_BTULTRA2, **plain)
-        self.of = {}
-        for lang, content in dictionaries.items():
-            coders = []
-            for params in (fast, best):
-                d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=params)
-                coders.append(zstd.ZstdCompressor(dict_data=d, compression_params=params))
+        params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.of = []
+        for content in dictionaries.values():
+            d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            coder = zstd.ZstdCompressor(dict_data=d, compression_params=params)
             pad = b" " + content[len(content) // 2 :][:PAD]
-            self.of[lang] = (*coders, pad, len(coders[0].compress(pad)))
+            self.of.append((coder.compress, pad, len(coder.compress(pad))))
 
-    def sizes(self, data: bytes) -> dict[str, int]:
-        if len(data) < SHORT:
-            return {lang: max(0, len(fast.compress(data + pad)) - alone) for lang, (fast, _, pad, alone) in self.of.items()}
+    def sizes(self, data: bytes) -> list[int]:
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return {lang: sum(len(best.compress(b)) for b in blocks) for lang, (_, best, _, _) in self.of.items()}
+        return [sum(max(0, len(compress(b + pad)) - alone) for b in blocks) for compress, pad, alone in self.of]
 
 
 def _classify(dictionaries: dict[str, bytes], margin: float, text_col: str, apart: bool):
+    languages = sorted(dictionaries)
+    groups = [{x: dictionaries[x] for x in languages[i : i + AT_ONCE]} for i in range(0, len(languages), AT_ONCE)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = Coders(dictionaries)
+        held = [Coders(groups[0])] if len(groups) == 1 else []
         for batch in batches:
-            found = []
             texts = batch.column(1) if apart else batch.column(0).field(text_col)
-            for text in texts.cast(pa.string()).to_pylist():
-                letters = clean(text) if text else ""
-                if not coders.of or not any(map(str.isalpha, letters)):
-                    found.append(("und", 0.0, 0.0, True))
-                    continue
-                data = letters.encode()
-                best, score, distance = scores(coders.sizes(data), len(data))
-                found.append((best, score, distance, distance < margin))
+            letters = [clean(text).encode() if text else b"" for text in texts.cast(pa.string()).to_pylist()]
+            told = [i for i, data in enumerate(letters) if any(map(str.isalpha, data.decode()))]
+            sizes: list[list[int]] = [[] for _ in letters]
+            for coders in held or map(Coders, groups):
+                for i in told:
+                    sizes[i] += coders.sizes(letters[i])
+            found = [("und", 0.0, 0.0, True)] * len(letters)
+            for i in told if languages else ():
+                best, score, distance = scores(dict(zip(languages, sizes[i], strict=True)), len(letters[i]))
+                found[i] = (best, score, distance, distance < margin)
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "lang_pred", "score", "margin", "rejected"])
 
