@@ -29,6 +29,8 @@ from .common import col, durable, read
 HALVINGS, A_ROUND = 28, 4
 #: Sources (about 60 bytes each) that are broadcast; beyond it the weights go to salted copies of their key.
 BROADCAST_SOURCES, SALT = 50_000, 64
+#: Passes over a document that are listed at once.
+RUN = 10_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -82,7 +84,7 @@ def source_quotas(
     a = _exponent(stats, n, total, least, None if entropy is None else entropy * math.log(n), repetition, budget)
     raised = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(a))
     z = stats.agg(F.sum(raised)).first()[0]
-    quota = F.floor(F.col("weight") * F.lit(float(budget))).cast("long")
+    quota = F.floor(F.col("weight") * F.lit(float(budget)) + 0.5).cast("long")
     if repetition is not None:
         quota = F.least(quota, F.floor(F.col("tokens") * F.lit(float(repetition))).cast("long"))
     return durable(stats.withColumn("weight", raised / F.lit(z)).withColumn("quota", quota)), a, budget, most
@@ -93,7 +95,8 @@ def mix_sources(
 ) -> DataFrame:
     """One row per taken copy: id, source, pass, block, order_key, n_tokens, weight.
 
-    The mixture is read by (block, order_key). Its tokens are at most ``budget`` (all tokens of ``df`` if None).
+    The mixture is read by (block, order_key). Quotas are rounded to whole tokens, so they add up to ``budget`` (all tokens of
+    ``df`` if None) but for half a token a source; each is filled as far as whole documents fit in their order.
     """
     base = durable(df.select(col(id_col).alias("id"), F.coalesce(col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(col(text_col)).alias("tokens")))
     quotas, _, budget, most = source_quotas(base.select("source", "tokens"), budget, entropy, repetition)
@@ -108,7 +111,9 @@ def mix_sources(
     # as many buckets of the largest source as a bucket has documents: both windows grow as the root of its size
     bits = math.ceil(math.log2(max(1, most)) / 2)
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pass").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
-    copies = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))).withColumn("key", key).withColumn("bucket", F.shiftright("key", 60 - bits))
+    # in two steps: a tiny source without a repetition limit may have very many passes
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(passes - 1) div {RUN}"))))
+    copies = runs.withColumn("pass", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("passes")) - 1))).drop("run").withColumn("key", key).withColumn("bucket", F.shiftright("key", 60 - bits))
     bucket = ["source", "pass", "bucket"]
     sums = copies.groupBy(*bucket).agg(F.sum("tokens").alias("held"))
     before = W.partitionBy("source", "pass").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -162,7 +167,7 @@ with recursive base as (
 ), z as (
   select sum(pow(tokens::double / total, a)) as z from stats, tot, a
 ), q as (
-  select source, tokens as whole, pow(tokens::double / total, a) / z as weight, least(floor(pow(tokens::double / total, a) / z * total)::bigint, tokens * 4) as quota, greatest(1, (total + 999999) // 1000000) as blocks
+  select source, tokens as whole, pow(tokens::double / total, a) / z as weight, least(floor(pow(tokens::double / total, a) / z * total + 0.5)::bigint, tokens * 4) as quota, greatest(1, (total + 999999) // 1000000) as blocks
   from stats, tot, a, z
 ), copies as (
   select doc_id, source, tokens, whole, weight, quota, blocks, pass, ('0x' || substr(md5('42:' || pass || ':' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as key

@@ -52,3 +52,21 @@ def test_targets_budget_and_blocks(spark):
 
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_balanced_sources_keep_every_document(spark):
+    data = [(i * 100 + k, "w " * (3 + (i * k) % 5), f"s{i}", 0) for i in range(23) for k in range(1 + i % 3 * 0 + 7)]
+    size = {i: sum(3 + (i * k) % 5 for k in range(7)) for i in range(23)}
+    data += [(i * 100 + 50, "w " * (60 - size[i]), f"s{i}", 0) for i in range(23)]
+    found = mix_sources(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(r[0] for r in data)
+
+
+def test_null_ids_repeated_rows_and_many_passes(spark):
+    data = [(None, "a b c", "x", 0), (None, "a b c", "x", 0), (5, "a b c", "x", 0), (5, "a b c", "x", 0), (6, "w " * 12, "y", 0)]
+    found = mix_sources(spark.createDataFrame(data, SCHEMA)).collect()
+    assert len(found) == 5 and sum(r.n_tokens for r in found) == 24
+    tiny = [(1, "one", "tiny", 0), (2, "w " * 45_000, "large", 0)]
+    found = mix_sources(spark.createDataFrame(tiny, SCHEMA), entropy=1.0, repetition=None)
+    n, last = found.where("source = 'tiny'").selectExpr("count(*)", "max(pass)").first()
+    assert abs(n - 22_500) <= 1 and last == n - 1
