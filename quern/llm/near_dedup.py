@@ -327,7 +327,7 @@ def candidate_pairs(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def further_pairs(rows: DataFrame, first: Column, last: Column, least: float = SIMILARITY) -> DataFrame:
-    """rows: (key, id, n, root). The same with the least member by ``first`` and the greatest by ``last``, of different classes only."""
+    """rows: (key, id, n, root, degree). The same with the least member by ``first`` and the greatest by ``last``, of different classes only."""
     members = rows.select("key", F.struct("id", "n", "root").alias("m"), F.struct(first, "id").alias("first"), F.struct(last, "id").alias("last"))
     ends = members.groupBy("key").agg(F.min_by("m", "first").alias("lo"), F.max_by("m", "last").alias("hi"))
     return _near_pairs(members.join(ends, "key").select("m", F.explode(F.array("lo", "hi")).alias("e")).where("m.root != e.root"), least)
@@ -358,8 +358,8 @@ def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows: (key, id, n). (key, id, n, root) of the members of buckets that hold several classes, computed."""
-    rooted = rows.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    """rows: (key, id, n), roots: (node, root, degree). (key, id, n, root, degree) of the members of buckets that hold several classes, computed."""
+    rooted = rows.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
     mixed = durable(rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("several"), F.count("*").alias("m")).where("several and m > 3").select("key"))
     return durable(rooted.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"))
 
@@ -435,18 +435,20 @@ def _roots(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataF
     def verified(pairs: DataFrame) -> DataFrame:
         return durable(verified_links(durable(pairs), df, id_col, text_col).select("a", "b"))
 
+    def counted(roots: DataFrame, links: DataFrame) -> DataFrame:
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        return durable(roots.join(degrees, "node"))
+
     links = verified(candidate_pairs(bucket_rows(nodes)))
-    roots = durable(components(links))
-    degrees = durable(links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")))
+    roots = counted(components(links), links)
     rows = open_rows(bucket_rows(nodes), roots)
     for a_round in range(ROUNDS):
         picked = F.xxhash64("key", "id", F.lit(a_round))
-        new = verified(further_pairs(rows.join(degrees, "id", "left"), -F.coalesce("degree", F.lit(0)), picked))
+        new = verified(further_pairs(rows, -F.col("degree"), picked))
         if new.isEmpty():
             break
-        met = new.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("bigint").alias("degree"))
-        degrees = durable(degrees.unionByName(met).groupBy("id").agg(F.sum("degree").alias("degree")))
-        roots = _joined(roots, new)
+        links = durable(links.unionByName(new))
+        roots = counted(_joined(roots, new), links)
         rows = open_rows(rows, roots)
     members = durable(rows.select("id", "root").distinct())
     if members.isEmpty():
