@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, word_set
 from ..storage import durable
 
+#: Words that similar sets have to share in their rarest ones.
+SHARED = 4
+
 
 def _sets(items: DataFrame, pos: str, text: str) -> DataFrame:
     return items.select(F.col(pos).alias("pos"), word_set(F.col(text)).alias("w")).withColumn("key", F.sha2(F.array_join("w", " ").cast("binary"), 256))
@@ -23,19 +26,26 @@ def representatives(items: DataFrame, pos: str = "pos", text: str = "text") -> D
 def similar_pairs(items: DataFrame, threshold: float = 0.8, pos: str = "pos", text: str = "text") -> DataFrame:
     """(a, b, similarity) of all a < b with different word sets whose similarity is over ``threshold``; equal sets count once, by their first position.
 
-    Each set is joined on its rarest words only: sets over the threshold share one of their first
-    size - ceil(threshold * size) + 1 words by global frequency.
+    Words are ordered by rarity. Sets that have at least o words in common share at least ``SHARED`` (or o) of their
+    first size - ceil(threshold * size) + ``SHARED``; only pairs that do, and whose words after the last one shared can
+    still make up o, are compared whole.
     """
     sets = durable(_sets(items, pos, text).where(F.size("w") > 0).groupBy("key").agg(F.min("pos").alias("pos"), F.first("w").alias("w")).select("pos", "w", F.size("w").alias("n")))
     words = sets.select("pos", "n", F.explode("w").alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("df"))
-    ordered = words.join(often, "word").groupBy("pos", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
-    length = F.expr(f"cast(n - ceil({threshold:.6f}BD * n) + 1 as int)")
-    prefix = ordered.select("pos", "n", F.explode(F.transform(F.slice("o", F.lit(1), length), lambda x: x["word"])).alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    # a word that only one set has is in front and never shared: it takes a place of the prefix, not a row
+    met = words.join(often, "word").groupBy("pos", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
+    room = F.expr(f"cast(n - ceil({threshold:.6f}BD * n) + {SHARED} - (n - size(o)) as int)")
+    prefix = met.where(room > 0).select("pos", "n", (F.col("n") - F.size("o")).alias("alone"), F.posexplode(F.transform(F.slice("o", F.lit(1), F.greatest(room, F.lit(1))), lambda x: F.xxhash64(x["word"]))).alias("i", "word"))
+    prefix = durable(prefix.select("pos", "n", (F.col("i") + F.col("alone")).alias("i"), "word"))
     a, b = prefix.alias("a"), prefix.alias("b")
     close = (F.col("a.pos") < F.col("b.pos")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold))
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).distinct()
-    full = met.join(sets.select(F.col("pos").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("pos").alias("b"), F.col("w").alias("wb")), "b")
+    shared = a.join(b, (F.col("a.word") == F.col("b.word")) & close).groupBy(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    counted = shared.agg(F.count("*").alias("c"), F.max("a.i").alias("ia"), F.max("b.i").alias("ib"))
+    needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    enough = (F.col("c") >= F.least(F.lit(SHARED), needed)) & (F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 >= needed)
+    pairs = counted.where(enough).select("a", "b")
+    full = pairs.join(sets.select(F.col("pos").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("pos").alias("b"), F.col("w").alias("wb")), "b")
     return full.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") > threshold)
 
 

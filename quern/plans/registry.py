@@ -268,16 +268,27 @@ def dedupe_greedy_group(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.deduplicate(table(spark, d, "conversations"), 0.8, "conv_id", "turn").select("conv_id", "turn", "role", "text")
 
 
-@query(rf"""
-with s as (select min(doc_id) as doc_id, w from (select doc_id, {_SET} as w from documents) where len(w) > 0 group by w
+_SIMILAR = rf"""
+v as (select doc_id, {_SET} as w from documents
+), s as (select min(doc_id) as doc_id, w from v where len(w) > 0 group by w
 ), u as (select doc_id, len(w) as n, unnest(w) as w from s
-), c as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from u a join u b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2, 3, 4)
-select a, b, round(c / (na + nb - c)::double, 9) as similarity from c where c / (na + nb - c)::double > 0.8""")
+), c as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from u a join u b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2, 3, 4
+), similar_pairs as (select a, b, round(c / (na + nb - c)::double, 9) as similarity from c where c / (na + nb - c)::double > 0.8)"""
+
+
+@query(f"with {_SIMILAR} select * from similar_pairs")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, d, "documents"), 0.8, "doc_id").withColumn("similarity", F.round("similarity", 9))
 
 
-@query()  # order-dependent over a whole table: tested against the loop
+@query(f"""
+with recursive {_SIMILAR}, e as (select b as id, list(a) as earlier, row_number() over (order by b) as i from similar_pairs group by b
+), r as (
+  select 0::bigint as i, []::bigint[] as dropped
+  union all
+  select e.i, case when len(list_filter(e.earlier, lambda x: not list_contains(r.dropped, x))) > 0 then list_append(r.dropped, e.id) else r.dropped end from r join e on e.i = r.i + 1
+), last as (select dropped from r order by i desc limit 1)
+select v.doc_id, len(v.w) = 0 or (v.doc_id = s.doc_id and not list_contains((select dropped from last), v.doc_id)) as kept from v left join s on v.w = s.w""")
 def dedupe_greedy_corpus(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.deduplicate_table(table(spark, d, "documents"), 0.8, "doc_id").withColumnRenamed("pos", "doc_id")
 
