@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import col, durable, read
 
-#: The bounded samples of labelled documents, and the bound of the table of scores.
-TOXIC_DOCS, OTHER_DOCS, MOST_TOKENS = 2_000, 8_000, 20_000
+#: The bounded samples of labelled documents; they bound the table of scores too.
+TOXIC_DOCS, OTHER_DOCS = 2_000, 8_000
 #: Dirichlet pseudo-count of each token, and how many standard errors a score is shrunk.
 PRIOR, SHRINK = 0.5, 1.0
 #: Least score of a token: less telling ones count as background, so that totals drift down outside toxic passages.
@@ -128,7 +128,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     least, share = math.log(max(2, tested.count())), t1 / max(1, t1 + t0)
     part = lambda y, p: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / ((F.col("y1") + F.col("y0")) * F.lit(p)))).otherwise(0.0)
     told = tested.where((F.col("d") - SHRINK * F.col("e") >= LEAST_SCORE) & (part("y1", share) + part("y0", 1 - share) >= least))
-    top = told.orderBy((F.col("d") / F.col("e")).desc(), "token").limit(MOST_TOKENS).collect()
+    top = told.collect()  # telling tokens of the sample's documents
     table = {r.token: s for r in top if (s := r.d - SHRINK * r.e) >= LEAST_SCORE}
     share = sum(r.y1 for r in top if r.token in table and not r.token.endswith("*")) / max(1, t1)
     model = Model(table, math.log1p(-min(0.2, max(0.005, share))), 1e-3, prior)
