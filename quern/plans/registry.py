@@ -18,9 +18,9 @@ from ..operators.chunking import chunk_by_sentences, chunk_by_words, ingest_stat
 from ..operators.embedding import HashEmbedder
 from ..operators.inference import Inference, error_class, judged
 from ..operators.memory import Memory
-from ..sources.files import with_file_metadata
+from ..sources.files import ingestable, with_file_metadata
 from ..sources.synthetic import fact_document, facts, questions
-from ..storage import delete, durable, shared_dir
+from ..storage import create_text, delete, durable, shared_dir
 from ..streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +473,35 @@ def generate_mocked(spark: SparkSession, d: str) -> DataFrame:
     return llm.generate(asked.withColumnRenamed("prompt", "asked"), "asked").select("conv_id", "turn", "response", "model", "tokens_used.prompt", "tokens_used.completion", "tokens_used.total", "provider")
 
 
+@query("select conv_id, turn, 'try 3: ' || coalesce(text, '') as response from conversations")
+def generate_with_retry(spark: SparkSession, d: str) -> DataFrame:
+    """A client that fails twice at every prompt."""
+
+    class Failing:
+        def __init__(self) -> None:
+            self.tries: dict[str, int] = {}
+
+        def __call__(self, prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int]:
+            self.tries[prompt] = self.tries.get(prompt, 0) + 1
+            if self.tries[prompt] < 3:
+                raise OSError("timeout")
+            return f"try {self.tries.pop(prompt)}: {prompt}", 1, 1
+
+    asked = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt"))
+    return Inference("failing", client=Failing()).generate(asked, max_retries=3, backoff=0.0).select("conv_id", "turn", "response")
+
+
+@query("select n_name || chr(10) as text, 'md' as extension, 'markdown' as file_type, 'nation' || n_nationkey || '.md' as source from nation")
+def text_source(spark: SparkSession, d: str) -> DataFrame:
+    """A file per nation, read whole."""
+    folder = f"{shared_dir(spark)}/quern-files-{uuid.uuid4().hex}"
+    for r in table(spark, d, "nation").select("n_nationkey", "n_name").toLocalIterator():  # 25 rows at any scale
+        create_text(spark, f"{folder}/nation{r.n_nationkey}.md", f"{r.n_name}\n")
+    found = durable(ingestable(spark, f"{folder}/*.md").select("text", "extension", "file_type", "source"))
+    delete(spark, folder)
+    return found
+
+
 def _hashed(rows: str, key: str) -> str:
     """SQL of the parts (key, at, n) and lengths of hashed vectors of the texts of ``rows``."""
     return f"""
