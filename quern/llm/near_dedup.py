@@ -288,26 +288,22 @@ def _verify(least: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): root is the smallest node it is connected to.
+    """(node, root) of every node of ``edges`` (a, b) but the roots: root is the smallest node it is connected to.
 
     Large-star and small-star steps alternate until the edges are stars; each step is checkpointed.
     """
-    tidy = lambda e: e.where("u > v").distinct()
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    e = durable(tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
-    was = state(e)
+    tidy = lambda e: durable(e.where("u > v").distinct())
+    e = tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
+        ends = durable(e.groupBy("u").agg(F.min("v").alias("v"), (F.min("v") < F.max("v")).alias("several")))
+        # stars: everyone has one smaller neighbour, and that has none
+        if ends.where("several").isEmpty() and ends.select("u").join(ends.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            return ends.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = durable(tidy(large))
+        large = tidy(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = durable(tidy(small))
-        now = state(e)
-        if now == was:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        was = now
+        e = tidy(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
 
 
 def _text_key(text_col: str):
@@ -437,24 +433,24 @@ def _roots(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataF
 
     def counted(roots: DataFrame, links: DataFrame) -> DataFrame:
         degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        return durable(roots.join(degrees, "node"))
+        return durable(degrees.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "degree"))
 
     links = verified(candidate_pairs(bucket_rows(nodes)))
     roots = counted(components(links), links)
-    rows = open_rows(bucket_rows(nodes), roots)
+    rows, new = open_rows(bucket_rows(nodes), roots), None
     for a_round in range(ROUNDS):
-        picked = F.xxhash64("key", "id", F.lit(a_round))
-        new = verified(further_pairs(rows, -F.col("degree"), picked))
+        if new is not None:
+            links = durable(links.unionByName(new))
+            roots = counted(_joined(roots, new), links)
+            rows = open_rows(rows, roots)
+        new = verified(further_pairs(rows, -F.col("degree"), F.xxhash64("key", "id", F.lit(a_round))))
         if new.isEmpty():
             break
-        links = durable(links.unionByName(new))
-        roots = counted(_joined(roots, new), links)
-        rows = open_rows(rows, roots)
+    # the last round's links join the classes together with those of the exact join
     members = durable(rows.select("id", "root").distinct())
-    if members.isEmpty():
-        return roots
-    last = verified(exact_pairs(members, df, id_col, text_col))
-    return roots if last.isEmpty() else _joined(roots, last)
+    if not members.isEmpty():
+        new = durable(new.unionByName(verified(exact_pairs(members, df, id_col, text_col))).distinct())
+    return roots if new.isEmpty() else _joined(roots, new)
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
