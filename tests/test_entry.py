@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from quern.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer documents embeddings pages benchmark labels conversations events".split()
+TABLES = "nation customer documents embeddings pages benchmark labels conversations events".split()
 
 
 @pytest.fixture(scope="module")
