@@ -10,6 +10,7 @@ from .language_id import op2_language_id
 from .mix_sources import OP3_SQL, op3_mix_sources
 from .near_dedup import op5_minhash_near_dedup
 from .secret_scan import op1_secret_scan
+from .spelling_variants import OP11_SQL, op11_spelling_variants
 from .toxicity import op10_toxicity
 from .warc import OP4_SQL, op4_warc_index
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op7_decontaminate": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
