@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,14 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, delete, durable, lower_ascii, read, shared_dir, small_enough
+from .common import col, delete, durable, read, shared_dir, small_enough
 
 MIN_DOCS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
-#: Terms of the broadcast automata and their longest; code points of a shard's terms and of a salt's text; matches counted together.
-HEAD_TERMS, HEAD_LENGTH, SHARD_CHARS, SALT_CHARS, MATCHES = 150_000, 64, 1_500_000, 16_000_000, 2_000_000
+#: Terms of the broadcast automata and their longest; code points of a shard's terms and of a salt's text; matches and terms counted together.
+HEAD_TERMS, HEAD_LENGTH, SHARD_CHARS, SALT_CHARS, MATCHES, TERMS = 150_000, 64, 1_500_000, 16_000_000, 6_000_000, 400_000
 #: Sources of a block, postings of a tile, groups that are broadcast.
 BLOCK, TILE_ROWS, BROADCAST_GROUPS, PAIRS = 256, 200_000, 200_000, 1_000_000
-_GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _SCAN = "lang string, source string, term string, n long, shard int, text string, tail boolean"
 #: To one delimiter, or lower case; what isn't ASCII stays.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -46,8 +46,31 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (lang, source, text): (lang, term, df) of the terms that stand in enough documents of their language."""
-    terms = F.array_remove(F.array_distinct(F.split(lower_ascii(F.col("text")), _GAP)), "")
-    return docs.select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs)
+    found = docs.select("lang", "text").mapInArrow(_documents, "lang string, term string, df long")
+    return found.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= min_docs)
+
+
+def _clean(text: str) -> bytes:
+    """Terms with one delimiter between; what is white space beyond ASCII belongs to terms."""
+    return b" ".join(text.encode().translate(_TABLE).split())
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, df): in how many texts of a task each term stands, given out whenever there are many terms."""
+    met: dict[str, Counter] = defaultdict(Counter)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, df in met.items():
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(df)), pa.array(df.keys(), pa.binary()).cast(pa.string()), pa.array(df.values(), pa.int64())], names=["lang", "term", "df"])
+        met.clear()
+
+    for batch in batches:
+        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if words := set(_clean(text).split()):
+                met[lang].update(words)
+                if sum(map(len, met.values())) >= TERMS:
+                    yield from flush()
+    yield from flush()
 
 
 class Automaton:
@@ -62,11 +85,10 @@ class Automaton:
 
     def scan(self, text: str) -> tuple[np.ndarray, list[str]]:
         """text: terms with one delimiter before, between and after. The terms that are met, by number, and the stretches between them, delimiter first."""
-        met = np.fromiter(self.found.iter(text), dtype=[("end", "i8"), ("term", "i8")])
-        starts = np.append(met["end"] - self.lengths[met["term"]] + 1, len(text) - 1)
-        ends = np.append(0, met["end"])
+        end, term = np.fromiter(chain.from_iterable(self.found.iter(text)), dtype=np.int64).reshape(-1, 2).T
+        starts, ends = np.append(end - self.lengths[term] + 1, len(text) - 1), np.append(0, end)
         gaps = np.flatnonzero(starts > ends)
-        return met["term"], [text[i:j] for i, j in zip(ends[gaps].tolist(), starts[gaps].tolist(), strict=True)]
+        return term.astype(np.int32), [text[i:j] for i, j in zip(ends[gaps].tolist(), starts[gaps].tolist(), strict=True)]
 
 
 class _Counts:
@@ -82,9 +104,16 @@ class _Counts:
 
     def flush(self, automata: dict[str, Automaton]) -> Iterator[pa.RecordBatch]:
         for (lang, source), arrays in self.met.items():
-            number, n = np.unique(np.concatenate(arrays), return_counts=True)
-            if len(number):
-                yield _rows(lang, source, automata[lang].terms.take(pa.array(number)), n)
+            met = np.concatenate(arrays)
+            if len(met):
+                terms = automata[lang].terms
+                if len(met) * 8 > len(terms):
+                    n = np.bincount(met, minlength=len(terms))
+                    number = np.flatnonzero(n)
+                    n = n[number]
+                else:
+                    number, n = np.unique(met, return_counts=True)
+                yield _rows(lang, source, terms.take(pa.array(number)), n)
         self.met.clear()
         self.size = 0
 
@@ -110,7 +139,7 @@ def _scan_head(head, name: str, shards: int):
         none = Automaton([" "])  # meets nothing: texts have no two delimiters together
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                clean = b" ".join(text.encode().translate(_TABLE).split())  # of bytes: what is white space beyond ASCII stays
+                clean = _clean(text)
                 if not clean:
                     continue
                 met, rest = automata.get(lang, none).scan(f" {clean.decode()} ")
@@ -153,7 +182,7 @@ def _tail_counts(scanned: DataFrame, tail: DataFrame, shards: int) -> DataFrame:
     dealt = texts.join(F.broadcast(salts), "shard").select("shard", F.pmod(F.monotonically_increasing_id(), "salts").cast("int").alias("salt"), "lang", "source", "term", "text")
     terms = tail.select((F.crc32(F.col("term").cast("binary")) % shards).cast("int").alias("shard"), "lang", "term").join(F.broadcast(salts), "shard")
     terms = terms.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "lang", F.lit(None).cast("string").alias("source"), "term", F.lit(None).cast("string").alias("text"))
-    together = dealt.unionByName(terms).repartition(parts, "shard", "salt")
+    together = dealt.unionByName(terms).repartition(2 * parts, "shard", "salt")
     # the order of texts doesn't matter, so that only their short keys are compared
     return together.sortWithinPartitions("shard", "salt", "lang", F.col("text").isNotNull()).mapInArrow(_scan_tail, _SCAN).select("lang", "source", "term", "n")
 
