@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import col, delete, durable, read, shared_dir, small_enough
 
 MIN_DOCS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
-#: Terms of the broadcast automata and their longest; code points of a shard's terms and of a salt's text; matches and terms counted together.
-HEAD_TERMS, HEAD_LENGTH, SHARD_CHARS, SALT_CHARS, MATCHES, TERMS = 150_000, 64, 1_500_000, 16_000_000, 6_000_000, 400_000
+#: Terms of the broadcast automata and their longest; code points of a shard's terms, of a salt's text and of texts scanned together; matches and terms counted together.
+HEAD_TERMS, HEAD_LENGTH, SHARD_CHARS, SALT_CHARS, TEXT_CHARS, MATCHES, TERMS = 150_000, 64, 1_500_000, 16_000_000, 8_000_000, 6_000_000, 400_000
 #: Sources of a block, postings of a tile, groups that are broadcast.
 BLOCK, TILE_ROWS, BROADCAST_GROUPS, PAIRS = 256, 200_000, 200_000, 1_000_000
 _SCAN = "lang string, source string, term string, n long, shard int, text string, tail boolean"
@@ -137,12 +137,12 @@ def _scan_head(head, name: str, shards: int):
             _built[name] = {lang: Automaton(terms.split("\n")) for lang, terms in head.value.items()}
         automata, counts = _built[name], _Counts()
         none = Automaton([" "])  # meets nothing: texts have no two delimiters together
-        for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                clean = _clean(text)
-                if not clean:
-                    continue
-                met, rest = automata.get(lang, none).scan(f" {clean.decode()} ")
+        waiting: dict[tuple[str, str], list[bytes]] = defaultdict(list)
+        chars = 0
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            for (lang, source), texts in waiting.items():
+                met, rest = automata.get(lang, none).scan(f" {b' '.join(texts).decode()} ")
                 counts.add(lang, source, met)
                 if shards and rest:
                     parts = defaultdict(list)
@@ -151,6 +151,17 @@ def _scan_head(head, name: str, shards: int):
                     yield _rows(lang, source, None, None, list(parts), [f" {' '.join(p)} " for p in parts.values()])
                 if counts.size >= MATCHES:
                     yield from counts.flush(automata)
+            waiting.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if clean := _clean(text):
+                    waiting[lang, source].append(clean)
+                    chars += len(clean)
+                if chars >= TEXT_CHARS:
+                    yield from drain()
+                    chars = 0
+        yield from drain()
         yield from counts.flush(automata)
 
     return scan
