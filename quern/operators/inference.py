@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import durable
 
-RESULT = "response string, model string, tokens_used struct<prompt:int,completion:int,total:int>, latency_ms double, provider string"
+RESULT = "response string, model string, tokens_used struct<prompt:int,completion:int,total:int>, latency_ms double, provider string, error string"
 #: Default models (fixed values).
 MODELS = {
     "ollama": "llama2",
@@ -136,6 +136,14 @@ def with_retry(call: Callable[[], dict], max_retries: int = 3, backoff: float =
     raise RuntimeError(f"Failed after {max_retries} attempts: {last}")
 
 
+def wait_for(message: str, retries: int) -> int | None:
+    """Units to wait before another try, by what an error's text says; None if it says nothing of that kind."""
+    low = message.lower()
+    if "rate limit" in low or "429" in low:
+        return (retries + 1) * 2
+    return 1 if "timeout" in low or "connection" in low else None
+
+
 class Inference:
     """A provider and its model, named on the driver and made once per Python worker."""
 
@@ -157,8 +165,21 @@ class Inference:
     def generate_one_with_retry(self, prompt: str, max_retries: int = 3, backoff: float = 1.0, **options) -> dict:
         return with_retry(lambda: self.generate_one(prompt, **options), max_retries, backoff)
 
+    def try_one(self, prompt: str, max_tokens: int, temperature: float, client: Client | None = None, max_retries: int = 1, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> dict:
+        """The answer, or after ``max_retries`` tries a row with the last error; it waits ``backoff`` seconds for each unit that the error's class asks, or 1, 2, 4... units."""
+        error = f"{max_retries} tries"
+        for attempt in range(max_retries):
+            try:
+                return {**self.generate_one(prompt, max_tokens, temperature, client), "error": None}
+            except Exception as e:
+                error = str(e) or type(e).__name__
+                if attempt + 1 < max_retries:
+                    units = wait_for(error, attempt)
+                    sleep(backoff * (2**attempt if units is None else units))
+        return {"response": None, "model": self.model, "tokens_used": None, "latency_ms": None, "provider": self.provider, "error": error}
+
     def generate(self, prompts: DataFrame, prompt: str = "prompt", max_tokens: int = 1000, temperature: float = 0.7, max_retries: int = 1, backoff: float = 1.0, batch: int = 64) -> DataFrame:
-        """``prompts``, computed once, with the columns of ``RESULT``. Equal prompts are asked once. Write the result before using it twice: a plan that runs again asks again."""
+        """``prompts``, computed once, with the columns of ``RESULT``. Equal prompts are asked once; one that fails has its error and no response. Write the result before using it twice: a plan that runs again asks again (``ledger.AnswerLedger`` never does)."""
         me, prompts = self, durable(prompts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,8 +188,8 @@ class Inference:
                 for at in range(0, len(frame), batch):
                     asked = list(frame["_asked_prompt"][at : at + batch])
                     client = client or (me.client() if asked else None)
-                    rows = [with_retry(lambda p=p: me.generate_one(p, max_tokens, temperature, client), max_retries, backoff) for p in asked]
-                    yield pd.DataFrame({"_asked_prompt": asked, **{c: [r[c] for r in rows] for c in ("response", "model", "tokens_used", "latency_ms", "provider")}})
+                    rows = [me.try_one(p, max_tokens, temperature, client, max_retries, backoff) for p in asked]
+                    yield pd.DataFrame({"_asked_prompt": asked, **{c: [r[c] for r in rows] for c in ("response", "model", "tokens_used", "latency_ms", "provider", "error")}})
 
         distinct = prompts.select(F.col(prompt).alias("_asked_prompt")).distinct()
         answers = distinct.mapInPandas(run, f"_asked_prompt string, {RESULT}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..operators import assembly, evaluation, near_duplicates, recall, retrieval
 from ..operators.chunking import chunk_by_sentences, chunk_by_words, ingest_stats
 from ..operators.embedding import HashEmbedder
 from ..operators.inference import Inference, error_class, judged
+from ..operators.ledger import AnswerLedger
 from ..operators.memory import Memory
 from ..sources.files import ingestable, with_file_metadata
 from ..sources.synthetic import fact_document, facts, questions
@@ -491,6 +493,42 @@ def generate_with_retry(spark: SparkSession, d: str) -> DataFrame:
     return Inference("failing", client=Failing()).generate(asked, max_retries=3, backoff=0.0).select("conv_id", "turn", "response")
 
 
+class _Stops:
+    """A client that refuses every seventh document for good, and takes its worker down at the others whose id says so."""
+
+    def __init__(self, stops_at: int | None) -> None:
+        self.stops_at = stops_at
+
+    def __call__(self, prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int]:
+        number = int(prompt.partition(":")[0])
+        if number % 7 == 0:
+            raise ValueError(f"invalid document {number}")
+        if self.stops_at is not None and number % 100 == self.stops_at:
+            raise SystemExit(f"stopped at {number}")
+        return f"{number} has {len(prompt)}", len(prompt), 1
+
+
+@query("""
+with p as (select distinct doc_id, doc_id || ':' || text as prompt from documents where text is not null)
+select doc_id, case when doc_id % 7 <> 0 then doc_id || ' has ' || length(prompt) end as response, case when doc_id % 7 <> 0 then length(prompt) + 1 end::int as total,
+  case when doc_id % 7 = 0 then 'invalid document ' || doc_id end as error, 1::bigint as times_asked from p""")
+def generate_with_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A job over all documents that is stopped, and one that goes on from its ledger: every prompt is answered or refused once over both."""
+    asked = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat_ws(":", "doc_id", "text").alias("prompt")).distinct()
+    ledger = AnswerLedger(spark, f"{shared_dir(spark)}/quern-ledger-{uuid.uuid4().hex}", buckets=8)
+    for stops_at in (50, None):
+        try:
+            found = ledger.generate(Inference("stops", client=_Stops(stops_at)), asked, batch=16)
+        except PySparkException:
+            if stops_at is None:
+                raise
+    times = ledger.rows().groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("times_asked"))
+    key = AnswerLedger.key(Inference("stops", client=_Stops(None)), F.col("prompt"), 1000, 0.7)
+    out = durable(found.withColumn("_key", key).join(times, "_key").select("doc_id", "response", F.col("tokens_used.total").alias("total"), "error", "times_asked"))
+    delete(spark, ledger.path)
+    return out
+
+
 @query("select n_name || chr(10) as text, 'md' as extension, 'markdown' as file_type, 'nation' || n_nationkey || '.md' as source from nation")
 def text_source(spark: SparkSession, d: str) -> DataFrame:
     """A file per nation, read whole."""
