@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_ws, preview, words
 from ..functions.vectors import norm, normalize
-from ..operators import assembly, evaluation, near_duplicates, recall, retrieval
+from ..operators import assembly, evaluation, near_duplicates, recall, retrieval, tiles
+from ..operators.cells import CellIndex
 from ..operators.chunking import chunk_by_sentences, chunk_by_words, ingest_stats
 from ..operators.embedding import HashEmbedder
 from ..operators.inference import Inference, error_class, judged
@@ -198,6 +199,32 @@ def search_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(retrieval.search(vectors, queries, 5, "cosine"))
 
 
+@query(SQL["search_l2_topk"])
+def search_l2_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and vectors both dealt to tiles, several a side at any scale."""
+    vectors, queries = _vectors(spark, d)
+    return _rounded(tiles.search_tiled(vectors, queries, 5, "L2", query_rows=50, vector_rows=400_000))
+
+
+def _in_cells(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    vectors, queries = _vectors(spark, d)
+    path = f"{shared_dir(spark)}/quern-cells-{uuid.uuid4().hex}"
+    found = CellIndex.build(vectors, path, metric, cells=16).search(queries, 5)
+    delete(spark, path)
+    return _rounded(found)
+
+
+@query(SQL["search_cosine_topk"])
+def search_cosine_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written in cells, of which those are read that can hold one of the five best."""
+    return _in_cells(spark, d, "cosine")
+
+
+@query(SQL["search_l2_topk"])
+def search_l2_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _in_cells(spark, d, "L2")
+
+
 @query("""
 with s as (select vec_id as idx, list_inner_product(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)) / sqrt(list_inner_product(embedding::double[], embedding::double[])) / (select sqrt(list_inner_product(embedding::double[], embedding::double[])) from embeddings order by vec_id limit 1) as score from embeddings)
 select idx, round(score, 6) + 0.0 as score from s order by s.score desc, idx limit 5""")
