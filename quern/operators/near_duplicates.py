@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, word_set
@@ -10,6 +13,8 @@ from ..storage import durable
 
 #: Words that similar sets have to share in their rarest ones.
 SHARED = 4
+#: Undecided sets of a word that the first round of the greedy rule compares.
+RANKS = 8
 
 
 def _sets(items: DataFrame, pos: str, text: str) -> DataFrame:
@@ -23,46 +28,75 @@ def representatives(items: DataFrame, pos: str = "pos", text: str = "text") -> D
     return sets.join(first, "key", "left").select("pos", F.coalesce("first", "pos").alias("first"))
 
 
-def similar_pairs(items: DataFrame, threshold: float = 0.8, pos: str = "pos", text: str = "text") -> DataFrame:
-    """(a, b, similarity) of all a < b with different word sets whose similarity is over ``threshold``; equal sets count once, by their first position.
+def _distinct(items: DataFrame, pos: str, text: str) -> DataFrame:
+    """(pos, w, n) of the different word sets, by their first position, computed."""
+    return durable(_sets(items, pos, text).where(F.size("w") > 0).groupBy("key").agg(F.min("pos").alias("pos"), F.first("w").alias("w")).select("pos", "w", F.size("w").alias("n")))
+
+
+def _prefix(sets: DataFrame, threshold: float) -> DataFrame:
+    """(pos, n, i, word): of each set the rarest words of which similar sets share some, as hashes, with their places; computed.
 
     Words are ordered by rarity. Sets that have at least o words in common share at least ``SHARED`` (or o) of their
-    first size - ceil(threshold * size) + ``SHARED``; only pairs that do, and whose words after the last one shared can
-    still make up o, are compared whole.
+    first size - ceil(threshold * size) + ``SHARED``.
     """
-    sets = durable(_sets(items, pos, text).where(F.size("w") > 0).groupBy("key").agg(F.min("pos").alias("pos"), F.first("w").alias("w")).select("pos", "w", F.size("w").alias("n")))
     words = sets.select("pos", "n", F.explode("w").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
     # a word that only one set has is in front and never shared: it takes a place of the prefix, not a row
     met = words.join(often, "word").groupBy("pos", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
     room = F.expr(f"cast(n - ceil({threshold:.6f}BD * n) + {SHARED} - (n - size(o)) as int)")
     prefix = met.where(room > 0).select("pos", "n", (F.col("n") - F.size("o")).alias("alone"), F.posexplode(F.transform(F.slice("o", F.lit(1), F.greatest(room, F.lit(1))), lambda x: F.xxhash64(x["word"]))).alias("i", "word"))
-    prefix = durable(prefix.select("pos", "n", (F.col("i") + F.col("alone")).alias("i"), "word"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    close = (F.col("a.pos") < F.col("b.pos")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold))
-    shared = a.join(b, (F.col("a.word") == F.col("b.word")) & close).groupBy(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    return durable(prefix.select("pos", "n", (F.col("i") + F.col("alone")).alias("i"), "word"))
+
+
+def _close(threshold: float) -> Column:
+    return (F.col("a.pos") < F.col("b.pos")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold))
+
+
+def _candidates(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of prefixes that share enough words, and whose words after the last one shared can still make up what similar sets have in common."""
+    shared = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & _close(threshold)).groupBy(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
     counted = shared.agg(F.count("*").alias("c"), F.max("a.i").alias("ia"), F.max("b.i").alias("ib"))
     needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     enough = (F.col("c") >= F.least(F.lit(SHARED), needed)) & (F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 >= needed)
-    pairs = counted.where(enough).select("a", "b")
+    return counted.where(enough).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     full = pairs.join(sets.select(F.col("pos").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("pos").alias("b"), F.col("w").alias("wb")), "b")
     return full.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
-def deduplicate_table(items: DataFrame, threshold: float = 0.8, pos: str = "pos", text: str = "text") -> DataFrame:
-    """(pos, kept): what one pass in order of ``pos`` keeps.
+def similar_pairs(items: DataFrame, threshold: float = 0.8, pos: str = "pos", text: str = "text") -> DataFrame:
+    """(a, b, similarity) of all a < b with different word sets whose similarity is over ``threshold``; equal sets count once, by their first position. As many rows as there are such pairs."""
+    sets = _distinct(items, pos, text)
+    prefix = _prefix(sets, threshold)
+    return _verified(_candidates(prefix, prefix, threshold), sets, threshold)
+
+
+def deduplicate_table(items: DataFrame, threshold: float = 0.8, pos: str = "pos", text: str = "text", ranks: int = RANKS) -> DataFrame:
+    """(pos, kept): what one pass in order of ``pos`` keeps, without the pairs among what it drops.
 
-    An undecided item is kept once all its earlier neighbours are dropped, and dropped once one of them is
-    kept; the rounds are checkpointed and end when nothing is undecided.
+    Only kept sets are held against others. A round looks at the first ``ranks`` undecided sets of each prefix word. One that is
+    among these for so many of its words that no earlier similar set can be missed, and that has none, is kept; all undecided sets
+    then meet the newly kept ones, and similar ones are dropped. So a family goes with its first member, however large it
+    is. The first undecided set is always decided; each round looks at four times as many sets a word.
     """
-    pairs = durable(similar_pairs(items, threshold, pos, text))
-    members = durable(representatives(items, pos, text))
-    state = durable(members.where("pos = first").select("pos", F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        earlier = pairs.join(state.select(F.col("pos").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy(F.col("b").alias("pos"))
-        seen = earlier.agg(F.max(F.coalesce("a_kept", F.lit(False))).alias("any_kept"), F.max(F.col("a_kept").isNull()).alias("any_open"))
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("any_kept", F.lit(False)), False).when(F.coalesce("any_open", F.lit(False)), None).otherwise(True)
-        state = durable(state.join(seen, "pos", "left").select("pos", new.alias("kept")))
-        if state.where("kept is null").isEmpty():
-            break
-    return members.join(state.withColumnRenamed("pos", "first"), "first").select("pos", ((F.col("pos") == F.col("first")) & F.col("kept")).alias("kept"))
+    sets, members = _distinct(items, pos, text), durable(representatives(items, pos, text))
+    prefix = _prefix(sets, threshold)
+    asked = F.least(F.lit(SHARED), F.expr(f"ceil({threshold:.6f}BD * n)")).cast("int")
+    per_set = prefix.groupBy("pos").agg(F.count("*").alias("size"))
+    left = durable(prefix.join(per_set, "pos"))
+    dropped = []
+    while not left.isEmpty():
+        front = durable(left.withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy("pos"))).where(F.col("rank") <= ranks))
+        seen = front.groupBy("pos", "n", "size").agg(F.count("*").alias("met")).where(F.col("size") - F.col("met") < asked).select("pos")
+        a, b = front.alias("a"), front.join(seen, "pos", "left_semi").alias("b")
+        before = a.join(b, (F.col("a.word") == F.col("b.word")) & _close(threshold)).select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).distinct()
+        blocked = _verified(before, sets, threshold).select(F.col("b").alias("pos"))
+        kept = durable(seen.join(blocked, "pos", "left_anti"))
+        rest = durable(left.join(kept, "pos", "left_anti"))
+        hit = durable(_verified(_candidates(left.join(kept, "pos", "left_semi"), rest, threshold), sets, threshold).select(F.col("b").alias("pos")).distinct())
+        dropped.append(hit)
+        left, ranks = durable(rest.join(hit, "pos", "left_anti")), ranks * 4
+    gone = reduce(DataFrame.unionByName, dropped, members.select("pos").limit(0)).select(F.col("pos").alias("first"), F.lit(True).alias("gone"))
+    return members.join(gone, "first", "left").select("pos", ((F.col("pos") == F.col("first")) & F.col("gone").isNull()).alias("kept"))
