@@ -17,7 +17,8 @@ from ..functions.vectors import norm, normalize
 from ..operators import assembly, evaluation, near_duplicates, recall, retrieval, tiles
 from ..operators.cells import CellIndex
 from ..operators.chunking import chunk_by_sentences, chunk_by_words, ingest_stats
-from ..operators.embedding import HashEmbedder
+from ..operators.embedding import HashEmbedder, ModelEmbedder
+from ..operators.embedding_cache import CachedEmbedder
 from ..operators.inference import Inference, error_class, judged
 from ..operators.ledger import AnswerLedger
 from ..operators.memory import Memory
@@ -166,6 +167,27 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return vectors.select("doc_id", F.posexplode_outer("embedding").alias("at", "value")).where("value <> 0").select("doc_id", "at", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+@query("""
+with t as (select 'd' || doc_id as id, text from documents union all select 'b' || item_id, text from benchmark)
+select id, case when regexp_matches(text, '\\S') then length(text) else 0 end::double as letters, case when regexp_matches(text, '\\S') then length(text) - length(replace(text, 'e', '')) else 0 end::double as es,
+  case when regexp_matches(text, '\\S') then 1 else 0 end::bigint as times_embedded from t""")
+def embed_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Two ingests, documents and then documents and benchmark texts, by a model behind one cache: each text is embedded once over both."""
+    documents = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    texts = documents.unionByName(table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text"))
+    model = ModelEmbedder("letters", 2, lambda: lambda batch: [[len(t), t.count("e")] for t in batch])
+    path = f"{shared_dir(spark)}/quern-vectors-{uuid.uuid4().hex}"
+    cache = CachedEmbedder(spark, model, path, buckets=8)
+    cache.embed(documents)
+    found = cache.embed(texts).withColumn("key", cache.key(F.col("text")))
+    times = cache.rows().groupBy("key").agg(F.count("*").alias("times_embedded"))
+    vector = lambda i: F.col("embedding")[i].cast("double")
+    out = durable(found.join(times, "key", "left").select("id", vector(0).alias("letters"), vector(1).alias("es"), F.coalesce("times_embedded", F.lit(0)).cast("long").alias("times_embedded")))
+    cache.forget()
+    delete(spark, path)
+    return out
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All vectors (idx, embedding, source) and the stated query set (query_id, qvec)."""
     e = table(spark, d, "embeddings")
