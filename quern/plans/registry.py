@@ -491,16 +491,34 @@ def synthetic_document(spark: SparkSession, d: str) -> DataFrame:
     return fact_document(facts(spark, 10))
 
 
-@query(_chunks_sql(200, 150, "doc_id, position, text"))
-def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+def _document_stream(spark: SparkSession, d: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    source = streaming.read_documents(spark, f"{d}/documents.parquet" if folder else d, "doc_id long, text string", None if folder else "documents.parquet")
+    return streaming.read_documents(spark, f"{d}/documents.parquet" if folder else d, "doc_id long, text string", None if folder else "documents.parquet")
+
+
+@query(_chunks_sql(200, 150, "doc_id, position, text"))
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     out = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    streaming.ingest(streaming.chunk_stream(source, 200, 50), f"{out}/chunks", f"{out}/log").awaitTermination()
+    streaming.ingest(streaming.chunk_stream(_document_stream(spark, d), 200, 50), f"{out}/chunks", f"{out}/log").awaitTermination()
     return spark.read.schema("doc_id long, text string, position int, chunk_id string, word_count int, char_count int").parquet(f"{out}/chunks").select("doc_id", "position", "text")
 
 
+@query(_chunks_sql(200, 150, "doc_id, position, text"))
+def stream_into_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Documents streamed into a memory; an epoch that comes again changes nothing, nor does compaction."""
+    out = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    embedder = HashEmbedder(8)
+    Memory(spark, 8, "cosine").save(f"{out}/memory")
+    streaming.ingest_into(_document_stream(spark, d), f"{out}/memory", "documents", embedder, f"{out}/log").awaitTermination()
+    again = embedder.embed(chunk_by_words(table(spark, d, "documents").select("doc_id", "text"), 200, 50))
+    Memory.load(spark, f"{out}/memory").append(f"{out}/memory", again, once=("documents", 0))
+    Memory.compact(spark, f"{out}/memory")
+    found = durable(Memory.load(spark, f"{out}/memory").table.select("doc_id", "position", "text"))
+    delete(spark, out)
+    return found
+
+
 def _answered(prompts: str, key: str) -> str:
     """SQL of the offline generator's answers: the first line below the first header, or the last line."""
     ws, cut = r"\s+", "chr(10) || '[Source: '"

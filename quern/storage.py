@@ -49,6 +49,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    system, p = _hadoop(spark, path)
+    return system.getContentSummary(p).getLength()
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the files of a folder, in order; none if there is no folder. Those that begin with a dot are left out."""
     system, p = _hadoop(spark, path)
