@@ -64,24 +64,29 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def segments(positions: np.ndarray, gains: list[float], background: float, n: int) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of n tokens that score ``background`` but at ``positions``.
 
-    Candidates are kept with the running totals at their ends; a new one swallows earlier candidates as long
-    as one begins at a lower and ends at a lower total.
+    Candidates are kept with the running totals at their ends, and each with the nearest earlier one that begins at a
+    lower total; a new one swallows earlier candidates as long as one begins at a lower and ends at a lower total. It
+    follows these links past all that begin higher, so the work is linear in the tokens.
     """
     found: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
+    lower: list[int] = []
     total, at = 0.0, 0
     for p, gain in zip(positions, gains, strict=True):
         total += background * (p - at)
         first, last, left, right = int(p), int(p), total, total + gain
         total, at = right, p + 1
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = lower[j]
             if j < 0 or found[j][3] >= right:
                 break
             first, left = found[j][0], found[j][2]
-            del found[j:]
+            before = lower[j]
+            del found[j:], lower[j:]
+            j = before
         found.append((first, last, left, right))
+        lower.append(j)
     return [(a, b, r - left) for a, b, left, r in found]
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quern.llm.toxicity import Model, evidence, learn, scan, score, segments
 
@@ -75,3 +76,14 @@ def test_more_evidence_scores_higher():
     assert evidence(100, [(0, 0, 1.0)], 0.01) == 0
     values = [score(100, f, model) for f in ([], [(0, 0, 1.0)], [(0, 0, 5.0)], [(0, 0, 9.0)], [(0, 0, 9.0), (50, 51, 6.0)])]
     assert values == sorted(values) and values[0] < 0.1 < 0.9 < values[-1]
+
+
+def test_segments_of_many_sparse_hits_are_found_in_linear_time():
+    import time
+
+    at = np.arange(200_000) * 60
+    began = time.perf_counter()
+    got = segments(at, [2.0] * len(at), -0.05, int(at[-1]) + 1)
+    assert got == [(i, i, pytest.approx(2.0, abs=1e-6)) for i in at.tolist()] and time.perf_counter() - began < 3
+    rising = segments(np.arange(100_000), [1.0] * 100_000, -0.05, 100_000)
+    assert len(rising) == 1 and rising[0][:2] == (0, 99_999)
