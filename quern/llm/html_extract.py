@@ -8,8 +8,9 @@ valid; nested by path they are the host's template.
 
 The template's elements are its slots, and how their fill varies over the host's pages decides them. From the page
 inwards, the slot that holds most of the text outside links, once a page, is entered as long as there is one: the last
-is the article. Slots in it are dropped where they hold links or the same fill on most pages; text blocks that are
-template tokens themselves are dropped; paragraphs and headings right beside it, on the way in, belong to it, and
+is the article. What is named as boilerplate weighs nothing there, so that more comments than article don't win; slots
+that hold most of the text on other pages are entered too, as the articles of other layouts. Slots in it are dropped where they hold links or the same fill on most pages; text blocks that are
+template tokens themselves are dropped, but headings right before the article's own text; paragraphs and headings right beside it, on the way in, belong to it, and
 headings of the first rank anywhere if they vary. All else is outside. Element and class names decide nothing there but
 forms, scripts and what HTML itself calls navigation, an aside or a footer, and, within the article, lesser parts that
 are named as comments, adverts and the like: those vary from page to page as articles do, so no template tells them.
@@ -41,6 +42,8 @@ from .common import col, durable, read
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 3, 0.2, 2
 #: Share of a slot's text that a slot in it has to hold to be entered; share of links from which a slot is a list of these.
 ENTERED, LINKS = 0.7, 0.8
+#: Share of a slot's pages that slots of different layouts in it may have together; share of a text that readers' words may be.
+LAYOUTS, READ = 1.05, 0.9
 #: Template tokens (about 80 bytes each) that are broadcast; beyond it pages meet their template by salted host.
 BROADCAST_TOKENS, SALT = 200_000, 64
 
@@ -55,6 +58,10 @@ GONE_TAGS = set("nav footer aside form button menu dialog head label fieldset".s
 BOILERPLATE_NAMES = set(
     "ad ads advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer form hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
 )
+#: Readers' words: never the article, however much of a page they are.
+READERS = set("comment comments discussion disqus replies reply respond".split())
+#: What may stand beside a telling word in a name, as in comment-list or footer-inner, and tells nothing itself.
+NEUTRAL = set("area article articles aside bar block body bottom box button buttons col column container content count feed foot form group head header heading holder icon icons inner item items label left link links list main media menu nav news outer page panel post posts primary region right row secondary section site slot slots text thread title top unit user users widget wrap wrapper zone".split())
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"']+)")
@@ -66,7 +73,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     __slots__ = ("chars", "gone", "header", "hint", "key", "links", "parent", "path", "region", "tag")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, gone: bool = False, hint: bool = False, header: bool = False, region: str = "") -> None:
+    def __init__(self, tag: str, path: str, parent: Node | None, gone: bool = False, hint: int = 0, header: bool = False, region: str = "") -> None:
         self.tag, self.path, self.parent, self.gone, self.hint, self.header, self.region = tag, path, parent, gone, hint, header, region
         self.chars = self.links = 0
         self.key = 0
@@ -88,7 +95,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _opened(tag: str, attributes: dict[str, str], parent: Node) -> Node:
-    names = {x.lower() for x in _NAMES.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")} if attributes else set()
+    named = [{x.lower() for x in _NAMES.findall(name)} for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()] if attributes else []
+    names = set().union(*named)
     role = attributes.get("role", "").lower()
     region = parent.region
     if tag == "article" or role == "article":
@@ -96,7 +104,8 @@ def _opened(tag: str, attributes: dict[str, str], parent: Node) -> Node:
     elif region != "article" and (tag == "main" or role == "main"):
         region = "main"
     gone = parent.gone or tag in GONE_TAGS or role in BOILERPLATE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
-    hint = tag not in ("html", "body") and bool(names & BOILERPLATE_NAMES)
+    # a name tells where all of its words do, or nothing else: social-share, not social-history
+    hint = 0 if tag in ("html", "body") else max([1 + bool(x & READERS) for x in named if x & BOILERPLATE_NAMES and all(w in BOILERPLATE_NAMES or w in NEUTRAL or w.isdigit() for w in x)], default=0)
     first = attributes.get("class", "").split()[:1]
     return Node(tag, f"{parent.path}/{tag}{'.' + first[0] if first else ''}", parent, gone, hint, tag == "header" or "header" in names and tag not in ("html", "body"), region)
 
@@ -203,8 +212,8 @@ def _key(path: str, text: str = "") -> int:
 
 
 ROOT = _key("")
-#: Kinds of tokens: a text block, an element, a heading of the first rank, another element of running text.
-TEXT, ELEMENT, TITLE, RUNNING = range(4)
+#: Kinds of tokens: a text block, an element, a heading of the first rank, another element of running text, an element named as boilerplate.
+TEXT, ELEMENT, TITLE, RUNNING, NAMED = range(5)
 
 
 def page_tokens(html: str) -> dict[int, list[int]]:
@@ -215,7 +224,7 @@ def page_tokens(html: str) -> dict[int, list[int]]:
     for node in nodes[1:]:
         if not node.gone:
             node.key = keys.get(node.path) or keys.setdefault(node.path, _key(node.path))
-            kind = TITLE if node.tag == "h1" else RUNNING if node.tag in TEXT_BLOCKS else ELEMENT
+            kind = TITLE if node.tag == "h1" else RUNNING if node.tag in TEXT_BLOCKS else NAMED if node.hint else ELEMENT
             x = out.setdefault(node.key, [kind, 0, node.parent.key or ROOT, 0, 0, 0])
             x[1] += 1
             x[3] += node.chars
@@ -239,40 +248,64 @@ class Template:
         within: dict[int, list[dict]] = {}
         for t in elements.values():
             within.setdefault(t["around"], []).append(t)
-        weight = lambda t: t["chars"] - t["links"]
         most = max((t["pages"] for t in elements.values()), default=0)
-        self.way, self.main = [ROOT], None
-        while kids := [t for t in within.get(self.way[-1], ()) if t["kind"] == ELEMENT]:
-            best = max(kids, key=lambda t: (weight(t), t["token"]))
-            whole = elements.get(self.way[-1])
-            if weight(best) <= 0 or weight(best) < ENTERED * (weight(whole) if whole else sum(map(weight, kids))) or best["n"] > best["pages"] or 2 * best["pages"] < most:
-                break
-            self.main = best["token"]
-            self.way.append(self.main)
+        weights = {k: t["chars"] - t["links"] for k, t in elements.items()}
+        for t in elements.values():  # what is named as boilerplate weighs nothing, in itself and in what lies around it
+            if t["kind"] == NAMED and weights[t["token"]] > 0:
+                said, at, seen = weights[t["token"]], t["token"], set()
+                while at in weights and at not in seen:
+                    seen.add(at)
+                    weights[at] -= said
+                    at = elements[at]["around"]
+
+        def entered(way: list[int]) -> Iterator[list[int]]:
+            """The ways on from a slot: into the slot in it with most text, and into others on other pages, as those of another layout."""
+            whole, used = elements.get(way[-1]), 0
+            kids = sorted((t for t in within.get(way[-1], ()) if t["kind"] == ELEMENT), key=lambda t: (-weights[t["token"]], -t["token"]))
+            held, pages = (weights[way[-1]], whole["pages"]) if whole else (sum(weights[t["token"]] for t in kids), most)
+            for t in kids:
+                here = weights[t["token"]]
+                if here <= 0 or t["n"] > t["pages"] or t["token"] in way or used + t["pages"] > LAYOUTS * pages or here < ENTERED * held * min(1.0, t["pages"] / max(1, pages)) or not used and 2 * t["pages"] < pages:
+                    continue
+                used += t["pages"]
+                yield [*way, t["token"]]
+
+        self.ways: dict[int, list[int]] = {}
+        open_ways = [[ROOT]]
+        while open_ways:
+            way = open_ways.pop()
+            further = list(entered(way))
+            open_ways += further
+            if not further and len(way) > 1:
+                self.ways.setdefault(way[-1], way)
+        self.main = max(self.ways, key=lambda k: (weights[k], k), default=None)
+        self.way = self.ways.get(self.main, [ROOT])
+        on_the_way = {k for way in self.ways.values() for k in way}
         #: slots with the same fill on most pages, and lists of links
         self.same = {k for k, t in elements.items() if t["chars"] and 2 * t["fills"] <= t["pages"]}
-        self.dropped = {k for k, t in elements.items() if t["kind"] == ELEMENT and t["chars"] and k not in self.way and (k in self.same or t["links"] > LINKS * t["chars"])}
+        self.dropped = {k for k, t in elements.items() if t["kind"] in (ELEMENT, NAMED) and t["chars"] and k not in on_the_way and (k in self.same or t["links"] > LINKS * t["chars"])}
         self.titles = {k for k, t in elements.items() if t["kind"] == TITLE and k not in self.same and t["n"] == t["pages"]}
 
 
 def _lesser(node: Node, chars: int) -> bool:
-    """Whether the element is a lesser part that names itself boilerplate."""
-    return node.hint and 2 * node.chars <= chars
+    """Whether the element names itself boilerplate and is a lesser part, or readers' words beside some text of the author's."""
+    return bool(node.hint) and (2 * node.chars <= chars or node.hint > 1 and node.chars <= READ * chars)
 
 
 def _told_by_template(nodes: list[Node], blocks: list[tuple[str, Node]], template: Template) -> list[tuple[str, Node]] | None:
     keys: dict[str, int] = {}
     for node in nodes:
         node.key = keys.get(node.path) or keys.setdefault(node.path, _key(node.path))
-    article = next((node for node in nodes if node.key == template.main), None)
+    article = next((node for node in nodes if node.key in template.ways), None)
     if article is None:
         return None
-    beside = set(template.way[3:-1])  # what lies around the article but html and body
+    beside = set(template.ways[article.key][3:-1])  # what lies around the article but html and body
     found = []
-    for text, innermost in blocks:
+    for x in blocks:
+        innermost = x[1]
         inside, dropped, byline = False, False, False
         for node in innermost.above():
-            if node.key == template.main:
+            if node.key == article.key:
                 inside = True
                 break
             dropped = dropped or node.key in template.dropped or _lesser(node, article.chars)
@@ -280,10 +313,14 @@ def _told_by_template(nodes: list[Node], blocks: list[tuple[str, Node]], templat
         if not inside:
             way_in = innermost.tag in TEXT_BLOCKS and innermost.key not in template.same and not innermost.hint
             if innermost.key in template.titles or way_in and innermost.parent.key in beside and 2 * innermost.links <= innermost.chars:
-                found.append((text, innermost))
+                found.append(x)
         elif not dropped and (not byline or innermost.tag in HEADINGS):
-            found.append((text, innermost))
+            found.append(x)
     own = [x for x in found if _key(x[1].path, x[0]) not in template.texts]
+    # a heading that recurs belongs to the article if its own text comes next
+    kept, inside = {id(x) for x in own}, {id(x) for x in found}
+    kept |= {id(x) for x, after in zip(blocks, blocks[1:], strict=False) if x[1].tag in HEADINGS and id(x) in inside and after[1].tag not in HEADINGS and id(after) in kept}
+    own = [x for x in found if id(x) in kept]
     # where most of the text recurs on the host's pages, it is a copy of an article: its paragraphs and the like are slots
     if 2 * sum(len(text) for text, _ in own) < sum(len(text) for text, _ in found):
         own = [x for x in found if x[1].tag in TEXT_BLOCKS or _key(x[1].path, x[0]) not in template.texts]

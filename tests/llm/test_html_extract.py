@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -151,3 +152,55 @@ def test_pages_without_a_telling_tag_or_name(spark):
     assert len(here) > 200 and sum(found[i].text == want[i] for i in here) >= 0.97 * len(here)
     alone = {i: main_text(html) for i, _, html in rows}
     assert sum(alone[i] == want[i] for i in here) == 0
+
+
+def _words(seed, n):
+    return " ".join(random.Random(seed).choices("ka lo mi nu pe ra si to vu wa xe yo".split(), k=n))
+
+
+def _pages(spark, make, n=12):
+    rows = [(i, f"https://h.org/{i}", make(i)) for i in range(n)]
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+_FRAME = "<html><body><nav><a href=/>Home</a></nav>{}<footer>All rights reserved</footer></body></html>"
+
+
+def _comments(i, by="section id=comments"):
+    return f"<{by}><h3>Comments</h3>" + "".join(f"<div class=entry><b>u{j}</b><p>{_words((i, j).__hash__(), 30)}</p></div>" for j in range(8)) + f"</{by.split()[0]}>"
+
+
+def _article(i):
+    return f"T{i}", _words(f"a{i}", 40), _words(f"b{i}", 40)
+
+
+@pytest.mark.parametrize("n", [12, 2])
+@pytest.mark.parametrize("around", ["<div class=post><h1>{}</h1><p>{}</p><p>{}</p></div>", "<main><article><h1>{}</h1><p>{}</p><p>{}</p></article>", "<div class=wrap><div class=post><h1>{}</h1><p>{}</p><p>{}</p></div>"])
+def test_more_comments_than_article(spark, around, n):
+    close = {"<main": "</main>", "<div class=wrap": "</div>"}.get(around.split(">")[0], "")
+    got = _pages(spark, lambda i: _FRAME.format(around.format(*_article(i)) + _comments(i) + close), n)
+    assert got == {i: "\n".join(_article(i)) for i in range(n)}
+
+
+def test_headings_that_recur_in_articles_stay(spark):
+    def make(i):
+        t, a, b = _article(i)
+        return _FRAME.format(f"<div class=post><h1>{t}</h1><h2>Ingredients</h2><p>{a}</p><h2>Method</h2><p>{b}</p><h2>Share this</h2><ul class=x><li><a href=/>Mail</a><li><a href=/>Print</a></ul></div>")
+
+    assert _pages(spark, make) == {i: "{}\nIngredients\n{}\nMethod\n{}".format(*_article(i)) for i in range(12)}
+
+
+def test_two_layouts_of_a_host(spark):
+    def make(i):
+        t, a, b = _article(i)
+        return _FRAME.format(f"<div class={'story' if i % 3 == 0 else 'post'}><h1>{t}</h1><p>{a}</p><p>{b}</p></div><div class=box><p>Read our {_words(i, 6)}</p></div>")
+
+    assert _pages(spark, make) == {i: "\n".join(_article(i)) for i in range(12)}
+
+
+def test_names_that_only_hold_a_telling_word_stay(spark):
+    def make(i):
+        t, a, b = _article(i)
+        return _FRAME.format(f"<div class=post><h1>{t}</h1><p>{a}</p><div class=social-history><p>{b}</p></div><div class=social-share><p>Like {_words(i, 5)}</p></div></div>")
+
+    assert _pages(spark, make) == {i: "\n".join(_article(i)) for i in range(12)}
