@@ -23,6 +23,7 @@ from ..operators.inference import Inference, error_class, judged
 from ..operators.ledger import AnswerLedger
 from ..operators.memory import Memory
 from ..sources.files import ingestable, with_file_metadata
+from ..sources.large_text import chunk_files
 from ..sources.synthetic import fact_document, facts, questions
 from ..storage import create_text, delete, durable, shared_dir
 from ..streaming import ingest as streaming
@@ -519,6 +520,22 @@ def stream_into_memory(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
+@query(f"""
+with f as (select doc_id // 100 as part, string_agg(text, chr(10) order by doc_id) as text from documents group by all
+), d as (select part, {_WORDS} as w from f
+), c as (select part, w, unnest(generate_series(0, greatest(0, ceil((len(w) - 200) / 150.0))::int)) as position from d where len(w) > 0)
+select part::bigint as part, position::int as position, array_to_string(w[position * 150 + 1:position * 150 + 200], ' ') as text, len(w[position * 150 + 1:position * 150 + 200])::int as word_count from c""")
+def chunk_large_files(spark: SparkSession, d: str) -> DataFrame:
+    """Text files of a hundred documents each, written by Spark, then read by splits and chunked across their borders."""
+    folder = f"{shared_dir(spark)}/quern-files-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(folder)
+    part = F.regexp_extract("source", r"/part=(-?\d+)/", 1).cast("long").alias("part")
+    found = durable(chunk_files(spark, f"{folder}/*/*.txt", 200, 50).select(part, "position", "text", "word_count"))
+    delete(spark, folder)
+    return found
+
+
 def _answered(prompts: str, key: str) -> str:
     """SQL of the offline generator's answers: the first line below the first header, or the last line."""
     ws, cut = r"\s+", "chr(10) || '[Source: '"
