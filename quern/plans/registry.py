@@ -22,11 +22,13 @@ from ..operators.embedding_cache import CachedEmbedder
 from ..operators.inference import Inference, error_class, judged
 from ..operators.ledger import AnswerLedger
 from ..operators.memory import Memory
+from ..sources.config import Config
 from ..sources.files import ingestable, with_file_metadata
 from ..sources.large_text import chunk_files
 from ..sources.synthetic import fact_document, facts, questions
 from ..storage import create_text, delete, durable, shared_dir
 from ..streaming import ingest as streaming
+from ..system import MemorySystem
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,6 +675,18 @@ def query_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     return answers
 
 
+@query(_ENDED)
+def system_ask(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the facade: one system ingests the documents, another finds its memory at the path and answers."""
+    config = Config(chunk_size=200, overlap=50, dimension=64, top_k=5, similarity_threshold=0.1, index_path=f"{shared_dir(spark)}/quern-memory-{uuid.uuid4().hex}")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source")).withColumns({"file_type": F.lit("text"), "extension": F.lit("txt")})
+    MemorySystem(spark, config).ingest(docs)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    answers = durable(MemorySystem(spark, config).ask(asked).select("query_id", "prompt", "response", "provider"))
+    delete(spark, config.index_path)
+    return answers
+
+
 _DEMO = f"""
 with facts as (
   select i as query_id, (['Xylon', 'Zarcon', 'Quilp', 'Moxie', 'Vortex', 'Blinker', 'Jolt', 'Flux', 'Glint', 'Snark'])[i % 10 + 1] as name, (['Crimson', 'Azure', 'Emerald', 'Amber', 'Indigo', 'Teal', 'Violet', 'Ochre', 'Cyan', 'Magenta'])[i % 10 + 1] as color from range(10) t(i)
