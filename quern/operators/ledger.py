@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import durable, list_names
+from ..storage import durable, list_names, make_folder, rename
 from .inference import RESULT, Inference
 
 SCHEMA = f"key string, {RESULT}, run string, asked_at double"
@@ -34,9 +34,11 @@ class AnswerLedger:
 
     def rows(self) -> DataFrame:
         """Everything that was ever answered or failed."""
-        if not list_names(self.spark, self.path):
+        names = list_names(self.spark, self.path)
+        names = [n for n in names if f"ended-{n}" not in names]
+        if not names:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{n}" for n in names])
 
     def answers(self) -> DataFrame:
         """The last row of every key."""
@@ -60,7 +62,12 @@ class AnswerLedger:
         run = f"run-{uuid.uuid4().hex}"
         ask = _ask(llm, f"{self.path}/{run}", run, max_tokens, temperature, max_retries, backoff, batch, sleep)
         dealt = new.withColumn("_bucket", bucket).repartition(self.buckets, "_bucket").sortWithinPartitions("_bucket")
-        dealt.select("_bucket", "_key", "_prompt").mapInArrow(ask, "asked long").write.format("noop").mode("overwrite").save()
+        for n in range(self.buckets):
+            make_folder(self.spark, f"{self.path}/{run}/{n}")
+        try:
+            dealt.select("_bucket", "_key", "_prompt").mapInArrow(ask, "asked long").write.format("noop").mode("overwrite").save()
+        finally:  # tasks of a failed job may go on for a while; what they write under the old name doesn't count
+            rename(self.spark, f"{self.path}/{run}", f"{self.path}/ended-{run}")
         found = self.answers().drop("asked_at").withColumnRenamed("key", "_key")
         return keyed.join(found, "_key", "left").drop("_key")
 
@@ -77,7 +84,6 @@ def _ask(llm: Inference, folder: str, run: str, max_tokens: int, temperature: fl
             client = client or llm.client()
             answers = [{"key": key, **llm.try_one(prompt, max_tokens, temperature, client, max_retries, backoff, sleep), "run": run, "asked_at": time.time()} for key, prompt in rows]
             name = uuid.uuid4().hex
-            fs.create_dir(f"{root}/{bucket}", recursive=True)
             pq.write_table(pa.Table.from_pylist(answers, kinds), f"{root}/{bucket}/.{name}.tmp", filesystem=fs)
             fs.move(f"{root}/{bucket}/.{name}.tmp", f"{root}/{bucket}/{name}.parquet")
 

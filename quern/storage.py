@@ -49,6 +49,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, p = _hadoop(spark, path)
+    system.mkdirs(p)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    system, p = _hadoop(spark, path)
+    if not system.rename(p, _hadoop(spark, to)[1]):
+        raise OSError(f"{path} can't be renamed")
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file or folder."""
     system, p = _hadoop(spark, path)

@@ -65,6 +65,8 @@ def test_a_task_tried_again_finds_its_batches(spark, tmp_path):
     from quern.operators.ledger import _ask
 
     log = tmp_path / "log"
+    for n in (0, 1):
+        (tmp_path / "run" / str(n)).mkdir(parents=True)
     batch = pa.RecordBatch.from_pydict({"_bucket": [0, 0, 0, 1], "_key": list("abcd"), "_prompt": list("abcd")})
     run = lambda stops: list(_ask(Inference("x", client=client(log, stops=stops)), f"file://{tmp_path}/run", "run", 10, 0.0, 1, 0.0, 1, lambda s: None)(iter([batch])))
     with pytest.raises(SystemExit):
@@ -96,3 +98,23 @@ def test_one_failing_prompt_leaves_the_others(spark, prompts, tmp_path):
 def test_empty(spark, tmp_path):
     ledger = AnswerLedger(spark, f"file://{tmp_path}/ledger")
     assert ledger.generate(Inference(), spark.createDataFrame([], "prompt string")).collect() == [] and ledger.answers().isEmpty()
+
+
+def test_what_a_task_writes_after_its_job_has_failed_does_not_count(spark, tmp_path, prompts):
+    """A slow task of a stopped job is still at its prompts when the next job has begun."""
+    import time
+
+    log, ledger = tmp_path / "log", AnswerLedger(spark, f"file://{tmp_path}/ledger", buckets=4)
+
+    def slow(prompt, max_tokens, temperature):
+        if prompt == "p77":
+            raise SystemExit("stopped")
+        time.sleep(0.05)
+        return f"re: {prompt}", 1, 1
+
+    for _ in range(2):
+        with pytest.raises(PySparkException):
+            ledger.generate(Inference("x", client=slow), prompts, batch=2)
+    ledger.generate(Inference("x", client=client(log)), prompts)
+    time.sleep(1)
+    assert ledger.rows().count() == ledger.answers().count() == 101
