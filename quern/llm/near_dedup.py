@@ -9,7 +9,8 @@ that both texts have once are the alignment's fixed points as far as they keep t
 are aligned within the band that the threshold leaves. Verified links make classes (alternating star contraction).
 Buckets that then hold several classes pair their members, ``ROUNDS`` times, with two others: the one that has most
 links so far and one picked by a hash. Where the members are still not all of one class (unrelated texts with a shared
-passage), all of them are compared by an exact prefix-filter join: every pair from different classes whose shingles'
+passage), they meet once more by the ``RARE`` rarest shingles that each has in common with any other, which are of its own
+part, and all of them are compared by an exact prefix-filter join: every pair from different classes whose shingles'
 Jaccard similarity reaches the threshold is verified too, so no such pair of a bucket is left out.
 
 Chance that a pair shares no tuple, by the Jaccard similarity of the shingles: 0.8: 2 in 10 billion; 0.6: 2 in 100,000;
@@ -41,6 +42,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, TUPLE = 24, 2
 #: Times that buckets of several classes are paired with further members before the exact join.
 ROUNDS = 2
+#: Rarest shingles of a text by which members of such buckets meet once more.
+RARE = 24
 #: Words of a stretch without fixed points that are aligned at once; longer ones are cut along the diagonal.
 STRETCH = 4_096
 #: Partners of a text that meet it in one task; the pairs of a text with more are salted.
@@ -369,6 +372,43 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
 
+def _cell_counts(texts: DataFrame) -> np.ndarray:
+    """Labelled shingles of the texts, counted in ``1 << CELL_BITS`` cells whatever their number."""
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for r in texts.select("text").mapInArrow(_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        counts[r.column("cell").to_numpy()] = r.column("n").to_numpy()
+    return counts
+
+
+def _rarest(counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            keys, held, sizes = [np.empty(0, np.uint64)], [], []
+            for words in _word_lists(batch.column("text"), tokens):
+                x = _labelled(shingles(words))
+                c = counts[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                sizes.append(len(x))
+                x, c = x[c > 1], c[c > 1]
+                keys.append(x[np.lexsort((x, c))[:RARE]])
+                held.append(len(keys[-1]))
+            rows = np.repeat(np.arange(len(held)), np.array(held, np.int64))
+            at = pa.array(rows)
+            columns = [pa.array(np.concatenate(keys).view(np.int64), pa.int64()), batch.column("id").take(at), pa.array(np.array(sizes, np.int32)[rows]), batch.column("root").take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "root"])
+
+    return run
+
+
+def rare_rows(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """texts: (id, root, text). (key, id, n, root) of each text's ``RARE`` rarest shingles that another text may have too.
+
+    What a family shares comes last in that order, so these are of the texts' own parts, and what only one text has
+    (its edits) is left out: near copies keep most of them in common however long the shared part is.
+    """
+    return texts.select("id", "root", "text").mapInArrow(_rarest(counts), "key bigint, id bigint, n int, root bigint")
+
+
 def _prefixes(counts: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -393,18 +433,19 @@ def _prefixes(counts: np.ndarray, least: float):
     return run
 
 
-def exact_pairs(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
-    """members: (id, root), computed. Distinct pairs a < b of different roots, among them all whose shingles' similarity reaches ``least``.
+def member_texts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """members: (id, root), computed. (id, root, text)."""
+    side = F.broadcast(members) if small_enough(members, BROADCAST_IDS) else members
+    return docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).join(side, "id")
+
+
+def exact_pairs(texts: DataFrame, counts: np.ndarray, least: float = SIMILARITY) -> DataFrame:
+    """texts: (id, root, text), counts: of their shingles' cells. Distinct pairs a < b of different roots, among them all whose shingles' similarity reaches ``least``.
 
     Prefix filter: shingles are ordered by rarity. Of two texts that reach ``least`` the longer one's first
     n - least * n + 1 and the shorter one's first n - 2 * least / (1 + least) * n + 1 have one in common, and at
     the first common one enough shingles are left on both sides. Texts of one root never meet.
     """
-    side = F.broadcast(members) if small_enough(members, BROADCAST_IDS) else members
-    texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).join(side, "id")
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    for r in texts.select("text").mapInArrow(_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        counts[r.column("cell").to_numpy()] = r.column("n").to_numpy()
     entries = durable(texts.select("id", "root", "text").mapInArrow(_prefixes(counts, least), "shingle bigint, id bigint, root bigint, n bigint, at bigint, short boolean"))
     shared = entries.groupBy("shingle").agg((F.min("root") < F.max("root")).alias("several"), F.max("short").alias("short")).where("several and short").select("shingle")
     sets = entries.join(shared, "shingle", "left_semi").groupBy("shingle", "root").agg(F.collect_list(F.struct("n", "id", "at", "short")).alias("members"))
@@ -446,10 +487,14 @@ def _roots(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataF
         new = verified(further_pairs(rows, -F.col("degree"), F.xxhash64("key", "id", F.lit(a_round))))
         if new.isEmpty():
             break
-    # the last round's links join the classes together with those of the exact join
+    # the last round's links join the classes together with those by rare shingles and of the exact join
     members = durable(rows.select("id", "root").distinct())
     if not members.isEmpty():
-        new = durable(new.unionByName(verified(exact_pairs(members, df, id_col, text_col))).distinct())
+        texts = member_texts(members, df, id_col, text_col)
+        counts = _cell_counts(texts)
+        by_hash = F.xxhash64("key", "id")
+        rare = further_pairs(durable(rare_rows(texts, counts)), by_hash, by_hash)
+        new = durable(new.unionByName(verified(rare.unionByName(exact_pairs(texts, counts)).distinct())).distinct())
     return roots if new.isEmpty() else _joined(roots, new)
 
 

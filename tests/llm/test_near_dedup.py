@@ -153,6 +153,25 @@ def test_pairs_in_a_family_of_unrelated_texts_with_a_shared_part(spark):
     assert {r.doc_id: r.class_id for r in found} == want
 
 
+@pytest.mark.parametrize("share", [0.6, 0.85])
+def test_scattered_edits_in_a_family(spark, share):
+    """Pairs of 240 words, one of twelve exchanged all over, in a family with a shared part: five-word shingles keep less than half."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(int(240 * share))]
+    texts = []
+    for _ in range(100):
+        a = shared + [word() for _ in range(240 - len(shared))]
+        b = list(a)
+        for at in range(0, 240, 12):
+            b[at + rng.randrange(12)] = word()
+        texts += [" ".join(a), " ".join(b)]
+    rows = [(i, t, "c", 0) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.class_id for r in near_duplicate_classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert sum(found[i] == found[i + 1] for i in range(0, 200, 2)) >= 97
+    assert all(found[i] // 2 == i // 2 for i in found)
+
+
 @pytest.mark.parametrize("edits", [3, 5])
 def test_a_star_is_one_class(spark, edits):
     """Copies that each exchange other words of one text: only the centre links them surely."""
