@@ -1,12 +1,14 @@
+import math
 import random
 
 import numpy as np
 import pytest
 
+from quern.operators import retrieval
 from quern.operators.embedding import HashEmbedder, ModelEmbedder
 from quern.operators.memory import Memory
 from quern.operators.near_duplicates import deduplicate_table, similar_pairs
-from quern.operators.retrieval import deduplicate, explain_retrieval, merge_queries, raw_against_threshold, retrieve, search, search_one
+from quern.operators.retrieval import best_texts, deduplicate, explain_retrieval, merge_queries, raw_against_threshold, retrieve, search, search_one
 
 VEC = "idx long, embedding array<float>, text string"
 
@@ -144,3 +146,29 @@ def test_embedders(spark):
     assert abs(np.linalg.norm(rows[1]) - 1) < 1e-6 and (rows[1] == rows[4]).all() and (rows[1] != rows[5]).any()
     own = ModelEmbedder("length", 2, lambda: lambda texts: [[len(t), 1] for t in texts], batch_size=1)
     assert {r.i: list(r.embedding) for r in own.embed(df).collect()} == {1: [11, 1], 2: [0, 0], 3: [0, 0], 4: [11, 1], 5: [5, 1]}
+
+
+@pytest.mark.parametrize("metric,held", [("cosine", 100_000), ("L2", 1_000), ("cosine", 7)])
+def test_groups_of_many_queries_are_merged_in_the_tasks(spark, monkeypatch, metric, held):
+    """Two groups, one of 10,000 queries, texts in many results, ties and unknown scores: equal to sorting all, and few rows leave a task."""
+    monkeypatch.setattr(retrieval, "MERGE_ROWS", held)
+    rng = random.Random(6)
+    rows = [(g, q, r, rng.choice([None, float("nan")]) if rng.random() < 0.001 else rng.randint(0, 400) / 400, rng.choice([None, *(f"t{i}" for i in range(300))])) for g, n in ((1, 10_000), (None, 50)) for q in range(n) for r in range(3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "group_id int, qpos int, rank int, score double, text string").repartition(4)
+    sign = -1 if metric == "cosine" else 1
+    nan = lambda s: (1, sign) if math.isnan(s) else (0, 0)
+    # as Spark orders: null is the smallest, NaN the largest
+    key = lambda x: ((sign * -1, 0, 0) if x[3] is None else (0, sign * nan(x[3])[0], 0 if math.isnan(x[3]) else sign * x[3]), x[1], x[2])
+    want = set()
+    for g in (1, None):
+        seen = {}
+        for x in sorted((x for x in rows if x[0] == g), key=key):
+            seen.setdefault(x[4], x)
+        want |= {(g, i, x[1], x[2], x[4]) for i, x in enumerate(list(seen.values())[:20])}
+    found = merge_queries(df, 20, metric)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.group_id, r.merged_rank, r.qpos, r.rank, r.text) for r in found.collect()} == want
+    if held == 100_000:
+        odd = sum(x[3] is None or math.isnan(x[3]) for x in rows)
+        assert best_texts(df, 20, metric).count() <= 4 * 2 * 20 + odd
