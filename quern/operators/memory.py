@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,17 +161,21 @@ class _State:
 
 
 def _state(spark: SparkSession, path: str, config: dict) -> _State:
-    """The last snapshot, and the entries that it doesn't cover."""
+    return summed(partial(list_names, spark), partial(read_text, spark), path, config)
+
+
+def summed(names: Callable[[str], list[str]], text: Callable[[str], str], path: str, config: dict) -> _State:
+    """The last snapshot, and the entries that it doesn't cover. names: of a folder's files, in order; text: of a small file."""
     log, snaps = f"{path}/log-{config['version']}", f"{path}/snap-{config['version']}"
-    last = (list_names(spark, snaps) or [None])[-1]
-    said = json.loads(read_text(spark, f"{snaps}/{last}")) if last else {"folders": [config["version"]], "next": 0, "open": [], "streams": {}}
+    last = (names(snaps) or [None])[-1]
+    said = json.loads(text(f"{snaps}/{last}")) if last else {"folders": [config["version"]], "next": 0, "open": [], "streams": {}}
     state = _State(log, int(last or 0), said["folders"], said["next"], [], dict(said["streams"]))
-    for name in list_names(spark, log):
+    for name in names(log):
         stream, at, epoch = name.rpartition("@")
         if at and int(epoch) <= said["streams"].get(stream, -1) or not at and int(name) < said["next"] and int(name) not in said["open"]:
             continue
         state.entries += 1
-        version = read_text(spark, f"{log}/{name}")
+        version = text(f"{log}/{name}")
         if version:
             state.folders.append(version)
         if at:

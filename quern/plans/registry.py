@@ -25,6 +25,7 @@ from ..operators.memory import Memory
 from ..sources.config import Config
 from ..sources.files import ingestable, with_file_metadata
 from ..sources.large_text import chunk_files
+from ..sources.memory_source import register as register_memory_source
 from ..sources.synthetic import fact_document, facts, questions
 from ..storage import create_text, delete, durable, shared_dir
 from ..streaming import ingest as streaming
@@ -731,3 +732,18 @@ def retriever_multi_query(spark: SparkSession, d: str) -> DataFrame:
     memory = Memory(spark, 64, "cosine").add(embedder.embed(turns))
     asked = table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("group_id"), F.col("item_id").alias("qpos"), "text")
     return _rounded(retrieval.Retriever(memory, embedder).retrieve_multi_query(asked)).select("group_id", "merged_rank", "score", "text")
+
+
+@query(f"select doc_id, count(*) as n_chunks, sum(length(text))::bigint as n_chars from ({_chunks_sql(200, 150, 'doc_id, position, text')}) t group by doc_id")
+def memory_source(spark: SparkSession, d: str) -> DataFrame:
+    """A memory of two appends, read as a data source from SQL."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    part = lambda i: chunk_by_words(docs.where(F.pmod("doc_id", F.lit(2)) == i), 200, 50).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    folder = f"{shared_dir(spark)}/quern-memory-{uuid.uuid4().hex}"
+    Memory(spark, 2, "L2").add(part(0)).save(folder)
+    Memory.load(spark, folder).append(folder, part(1))
+    register_memory_source(spark)
+    rows = spark.read.format("quern_memory").schema("doc_id long, text string").load(folder)
+    counted = durable(spark.sql("select doc_id, count(*) as n_chunks, sum(length(text)) as n_chars from {rows} group by doc_id", rows=rows))
+    delete(spark, folder)
+    return counted
