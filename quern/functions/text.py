@@ -44,8 +44,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def fmt3(x: Column) -> Column:
-    """Three decimals, half to even on the decimal value (0.0625 prints 0.062)."""
-    return F.bround(x.cast("decimal(38,18)"), 3).cast("decimal(38,3)").cast("string")
+    """Three decimals, half to even on the decimal value (0.0625 prints 0.062): units of 1e-18, multiplied as doubles, so 0.5255 counts as 0.525499999999999936."""
+    units = F.bround((x * F.lit(1e18)).cast("decimal(38,0)"), -15).cast("decimal(38,0)")
+    return (units / F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,3)").cast("string")
 
 
 def preview(text: Column, n: int = 200) -> Column:

@@ -98,3 +98,8 @@ def test_text_functions(spark):
     assert [v.x for v in values][:3] == ["0.062", "0.950", "1.000"]
     pair = spark.createDataFrame([(["a", "b"], ["b"]), ([], [])], "a array<string>, b array<string>").select(jaccard(F.col("a"), F.col("b")).alias("j")).collect()
     assert [p.j for p in pair] == [0.5, 0.0]
+
+
+def test_halves_print_as_the_cast_to_decimal_has_them(spark):
+    values = spark.createDataFrame([(0.5255,), (-0.5235,), (0.6135,), (0.0625,), (123456.7895,)], "x double").select(fmt3(F.col("x")).alias("x")).collect()
+    assert [v.x for v in values] == ["0.525", "-0.523", "0.614", "0.062", "123456.790"]
