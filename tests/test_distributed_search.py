@@ -89,3 +89,31 @@ def test_a_hot_cell_is_split(spark, tmp_path, monkeypatch):
     v, q = frame(spark, [*r.normal(size=(50, 4)), *([r.normal(size=4)] * 900)]), frame(spark, r.normal(size=(5, 4)), QUERY)
     index = CellIndex.build(v, f"file://{tmp_path}/cells", "L2", cells=3)
     assert rows(index.search(q, 6)) == rows(search(v, q, 6, "L2")) and index.read["files"] >= 9
+
+
+def test_few_scores_over_a_threshold_cost_no_sort():
+    """2,000 queries of which none has k results over the threshold."""
+    import time
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    q, v = r.normal(size=(2_000, 16)), r.normal(size=(20_000, 16))
+    best, began = retrieval.Best(q, pa.array(range(2_000)), 10, "cosine", 0.8), time.perf_counter()
+    for at in range(0, len(v), 10_000):
+        best.add(pa.array(range(at, at + 10_000)), pa.FixedSizeListArray.from_arrays(pa.array(v[at : at + 10_000].ravel()), 16))
+    found = {(x, y) for b in best.result(pa.int64()) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert time.perf_counter() - began < 6
+    u, w = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, v))
+    s = u @ w.T
+    at = np.argsort(-s, axis=1)[:, :10]
+    assert found == {(i, int(j)) for i in range(2_000) for j in at[i] if s[i, j] >= 0.8} and found
+
+
+def test_small_tiles_of_queries_do_not_multiply_the_vectors(spark, data, monkeypatch):
+    from quern.operators import tiles
+
+    moved, product = [], tiles.block_product
+    monkeypatch.setattr(tiles, "block_product", lambda v, *a, **k: moved.append(v.count()) or product(v, *a, **k))
+    v, q = frame(spark, data[0]), frame(spark, data[1], QUERY)
+    assert rows(search_tiled(v, q, 3, "L2", query_rows=4)) == rows(search(v, q, 3, "L2")) and moved == [len(data[0]) - 1]
