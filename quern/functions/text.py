@@ -33,7 +33,7 @@ def is_blank(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct lower-cased words without punctuation, sorted."""
-    return F.array_sort(F.array_distinct(words(F.regexp_replace(F.lower(text), NOT_WORD, ""))))
+    return F.sort_array(F.array_distinct(words(F.regexp_replace(F.lower(text), NOT_WORD, ""))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
