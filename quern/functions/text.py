@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it (fixed values); works in Java's and Python's regular expressions.
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: A run of anything else: a word.
-NOT_WS = WS.replace("[", "[^", 1) + "+"
+#: White space as Unicode has it, and the separators 1c to 1f; for Java, where it is one look at a character's type. As a list of
+#: ranges, every letter was held against each of them.
+WS = r"(?U)[\s\x1c-\x1f]"
+NOT_WS = r"(?U)[^\s\x1c-\x1f]"
+#: The same characters as text.
+WS_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Everything that is neither a word character nor white space.
 NOT_WORD = r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -18,8 +20,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WS + "+"), "")
 
 
+def word_count(text: Column) -> Column:
+    return F.size(words(text))
+
+
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))  # by a pattern every run of white space is tried again from each of its characters
 
 
 def normalize_ws(text: Column) -> Column:
@@ -28,7 +34,7 @@ def normalize_ws(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(F.length(strip_ws(text)) == 0, F.lit(True))
+    return ~F.coalesce(F.rlike(text, F.lit(NOT_WS)), F.lit(False))
 
 
 def word_set(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WS, WS, is_blank, strip_ws, words
+from ..functions.text import WS, is_blank, strip_ws, word_count, words
 from ..functions.vectors import let
 
 CHUNK_SIZE, OVERLAP, SENTENCE_WORDS = 300, 50, 300
@@ -47,7 +47,7 @@ def sentence_chunks(text: Column, max_words: int = SENTENCE_WORDS) -> Column:
         return F.struct(F.when(full, F.concat(state["starts"], F.array(state["i"]))).otherwise(state["starts"]).alias("starts"), F.when(full, n).otherwise(state["n"] + n).alias("n"), (state["i"] + 1).alias("i"))
 
     def packed(s: Column) -> Column:
-        starts = F.aggregate(F.transform(s, lambda x: F.regexp_count(x, F.lit(NOT_WS))), start, add, lambda state: state["starts"])
+        starts = F.aggregate(F.transform(s, word_count), start, add, lambda state: state["starts"])
         return let(F.struct(s.alias("s"), starts.alias("a")), lambda x: F.transform(F.arrays_zip(x["a"].alias("at"), F.slice(x["a"], F.lit(2), F.size(x["a"])).alias("to")), lambda c: F.array_join(F.slice(x["s"], c["at"], F.coalesce(c["to"], F.size(x["s"]) + 1) - c["at"]), " ")))
 
     return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(let(sentences(text), packed))
@@ -63,7 +63,7 @@ def explode_chunks(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> D
     keep = [c for c in docs.columns if c != "text"]
     # outer: else Spark infers a filter on the number of chunks that makes them once more
     rows = docs.select(*keep, F.posexplode_outer(chunks).alias("position", "text")).where("position is not null")
-    return rows.withColumns({"chunk_id": chunk_id(F.col(id_col), F.col("position")), "word_count": F.regexp_count("text", F.lit(NOT_WS)), "char_count": F.length("text")})
+    return rows.withColumns({"chunk_id": chunk_id(F.col(id_col), F.col("position")), "word_count": word_count(F.col("text")), "char_count": F.length("text")})
 
 
 def chunk_by_words(docs: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -103,3 +104,29 @@ def test_text_functions(spark):
 def test_halves_print_as_the_cast_to_decimal_has_them(spark):
     values = spark.createDataFrame([(0.5255,), (-0.5235,), (0.6135,), (0.0625,), (123456.7895,)], "x double").select(fmt3(F.col("x")).alias("x")).collect()
     assert [v.x for v in values] == ["0.525", "-0.523", "0.614", "0.062", "123456.790"]
+
+
+def test_long_white_space_is_read_once(spark):
+    texts = ["a." + " " * 300_000 + "b", " \t" * 100_000]
+    began = time.perf_counter()
+    assert column(spark, texts, sentence_chunks(F.col("text"), 5)) == [["a. b"], []]
+    assert column(spark, texts, strip_ws(F.col("text"))) == [texts[0], ""]
+    assert time.perf_counter() - began < 20  # by a pattern: minutes
+
+
+def test_counts_of_words_cost_little_beside_the_chunks(spark):
+    docs = spark.range(1_600, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("wörd "), F.col("id").cast("string"), F.lit(" sentence. ")), 500).alias("text")).cache()
+    docs.count()
+
+    def seconds(df):
+        df.write.format("noop").mode("overwrite").save()
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    rows = chunk_by_words(docs)
+    assert rows.agg(F.sum("word_count")).first()[0] >= 1_600 * 1_500
+    assert seconds(rows.select("doc_id", "word_count")) < 12 * seconds(docs.select(F.size(F.split("text", " "))))  # 5 times; by ranges 22
