@@ -73,18 +73,22 @@ class ModelEmbedder:
     def __init__(self, name: str, dimension: int, load: Callable[[], Callable[[list[str]], list]], batch_size: int = 32) -> None:
         self.name, self.dimension, self.load, self.batch_size = name, dimension, load, batch_size
 
-    def embed(self, df: DataFrame, text: str = "text", to: str = "embedding") -> DataFrame:
+    def embed_each(self, df: DataFrame, key: str, text: str, to: str = "embedding") -> DataFrame:
+        """(key, to) for rows whose texts are known to differ and to be not blank: every row goes to the model where it is."""
         load, size = self.load, self.batch_size
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = load()
             for batch in batches:
-                texts = list(batch["_text"])
+                texts = list(batch[text])
                 vectors = [[float(x) for x in v] for i in range(0, len(texts), size) for v in model(texts[i : i + size])]
-                yield pd.DataFrame({"_text": texts, to: vectors})
+                yield pd.DataFrame({key: batch[key], to: vectors})
+
+        return df.select(key, *{text} - {key}).mapInPandas(run, f"`{key}` string, `{to}` array<float>")
 
+    def embed(self, df: DataFrame, text: str = "text", to: str = "embedding") -> DataFrame:
         distinct = df.where(~is_blank(F.col(text))).select(F.col(text).alias("_text")).distinct()
-        vectors = distinct.mapInPandas(run, f"_text string, `{to}` array<float>")
+        vectors = self.embed_each(distinct, "_text", "_text", to)
         return df.join(vectors, F.col(text) == F.col("_text"), "left").drop("_text").withColumn(to, F.coalesce(to, zeros(self.dimension)))
 
 

@@ -11,12 +11,15 @@ from ..functions.text import is_blank
 from ..storage import durable
 from .embedding import Embedder, zeros
 
+#: Keys (64 bytes each) that are broadcast to fetch their texts; beyond it, a shuffled join.
+BROADCAST_KEYS = 200_000
+
 
 class CachedEmbedder:
     """An embedder in front of a table (key, embedding) below a path, where key is the hash of model, dimension and text.
 
-    The table is bucketed by key. New texts are dealt to its buckets, so that it is read where it lies and never shuffled;
-    what it lacks is embedded and appended. Two ingests at the same time may both embed a text, of which one row counts.
+    The table is bucketed by key. Keys are dealt to its buckets, so that it is read where it lies and never shuffled; texts aren't:
+    those that it lacks are fetched by their keys, once, embedded and appended. Two ingests at the same time may both embed a text, of which one row counts.
     Blank texts have zeros without model or cache.
     """
 
@@ -39,12 +42,12 @@ class CachedEmbedder:
     def embed(self, df: DataFrame, text: str = "text", to: str = "embedding") -> DataFrame:
         """``df`` with the vectors of its texts; what the cache lacks is embedded and added before this returns."""
         keyed = df.withColumn("_key", self.key(F.col(text)))
-        distinct = keyed.where("_key is not null").select(F.col("_key").alias("key"), F.col(text).alias("_asked_text")).dropDuplicates(["key"])
-        distinct = durable(self._dealt(distinct))
-        new = self.missing(distinct)
-        made = self.embedder.embed(new, "_asked_text", "embedding").select("key", "embedding")
+        keys = durable(self._dealt(keyed.where("_key is not null").select(F.col("_key").alias("key")).distinct()))
+        lacking = durable(self.missing(keys))
+        new = keyed.select(F.col("_key").alias("key"), F.col(text).alias("_asked_text")).join(F.broadcast(lacking) if lacking.count() <= BROADCAST_KEYS else lacking, "key", "left_semi").dropDuplicates(["key"])
+        made = self.embedder.embed_each(new, "key", "_asked_text") if hasattr(self.embedder, "embed_each") else self.embedder.embed(new, "_asked_text", "embedding").select("key", "embedding")
         self._dealt(made).sortWithinPartitions("key").write.insertInto(self.table)
-        vectors = self.found(distinct.select("key"))
+        vectors = self.found(keys)
         met = keyed.join(vectors.select(F.col("key").alias("_key"), F.col("embedding").alias("_vector")), "_key", "left")
         return met.select(*df.columns, F.coalesce("_vector", zeros(self.dimension)).alias(to))
 

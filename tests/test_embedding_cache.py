@@ -61,3 +61,21 @@ def test_empty(spark, tmp_path):
     cache = CachedEmbedder(spark, model(tmp_path / "log"), f"file://{tmp_path}/cache", buckets=4)
     assert cache.embed(spark.createDataFrame([], "text string")).collect() == [] and cache.rows().isEmpty()
     cache.forget()
+
+
+def written(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_once_and_known_ones_never(spark, tmp_path):
+    cache = CachedEmbedder(spark, model(tmp_path / "log"), f"file://{tmp_path}/cache", buckets=4)
+    texts = spark.range(2_000, numPartitions=3).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat_ws("|", "id", i), 256)), "").alias("text"))
+    for most in (1.2, 0.2):  # times the texts' 7.7 MB, which hardly compress: half, at best
+        before = written(spark)
+        cache.embed(texts).select("id", "embedding").write.format("noop").mode("overwrite").save()
+        assert written(spark) - before < most * 2_000 * 60 * 64
+    cache.forget()
