@@ -24,10 +24,12 @@ from ..storage import durable, list_names, make_folder, rename
 from .inference import RESULT, Inference
 
 SCHEMA = f"key string, {RESULT}, run string, asked_at double"
+#: Characters of prompts that a task asks, about; a longer prompt is asked whole.
+BUCKET_CHARS = 64 << 20
 
 
 class AnswerLedger:
-    """A folder that the driver and all tasks reach, by a path that pyarrow can open."""
+    """A folder that the driver and all tasks reach, by a path that pyarrow can open. buckets: tasks that ask, at least; they grow with the prompts."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -52,17 +54,19 @@ class AnswerLedger:
     def generate(self, llm: Inference, prompts: DataFrame, prompt: str = "prompt", max_tokens: int = 1000, temperature: float = 0.7, max_retries: int = 1, backoff: float = 1.0, batch: int = 64, retry_failed: bool = False, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
         """``prompts`` with the columns of ``RESULT`` and the run that asked; asks what the ledger doesn't know and returns when all is asked. A null prompt has a null row.
 
-        Unknown prompts are dealt to ``buckets`` by their keys, whatever the partitions of ``prompts``; two runs at the same time may both ask a prompt.
+        Unknown prompts are dealt to a task per bucket by their keys, whatever the partitions of ``prompts``; two runs at the same time may both ask a prompt.
         """
         keyed = durable(prompts.withColumn("_key", F.when(F.col(prompt).isNotNull(), self.key(llm, F.col(prompt), max_tokens, temperature))))
         known = self.answers()
         known = known.where("error is null") if retry_failed else known
         new = keyed.where("_key is not null").select("_key", F.col(prompt).alias("_prompt")).dropDuplicates(["_key"]).join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
-        bucket = F.pmod(F.xxhash64("_key"), F.lit(self.buckets)).cast("int")
+        chars = keyed.agg(F.sum(F.length(prompt))).first()[0] or 0
+        buckets = max(self.buckets, -(-chars // BUCKET_CHARS))
+        bucket = F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")
         run = f"run-{uuid.uuid4().hex}"
         ask = _ask(llm, f"{self.path}/{run}", run, max_tokens, temperature, max_retries, backoff, batch, sleep)
-        dealt = new.withColumn("_bucket", bucket).repartition(self.buckets, "_bucket").sortWithinPartitions("_bucket")
-        for n in range(self.buckets):
+        dealt = new.withColumn("_bucket", bucket).repartitionById(buckets, "_bucket")
+        for n in range(buckets):
             make_folder(self.spark, f"{self.path}/{run}/{n}")
         try:
             dealt.select("_bucket", "_key", "_prompt").mapInArrow(ask, "asked long").write.format("noop").mode("overwrite").save()

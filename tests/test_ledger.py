@@ -118,3 +118,12 @@ def test_what_a_task_writes_after_its_job_has_failed_does_not_count(spark, tmp_p
     ledger.generate(Inference("x", client=client(log)), prompts)
     time.sleep(1)
     assert ledger.rows().count() == ledger.answers().count() == 101
+
+
+def test_buckets_grow_with_the_prompts(spark, tmp_path, prompts, monkeypatch):
+    monkeypatch.setattr("quern.operators.ledger.BUCKET_CHARS", 20, raising=False)
+    ledger = AnswerLedger(spark, f"file://{tmp_path}/ledger", buckets=2)
+    assert ledger.generate(Inference("x", client=client(tmp_path / "log")), prompts, batch=5).where("response is not null").count() == 121
+    folders = list((tmp_path / "ledger").glob("*run-*/*"))
+    assert len(folders) == 17 and len([f for f in folders if list(f.glob("*.parquet"))]) > 12  # 340 characters
+    assert set(asked(tmp_path / "log").values()) == {1}
