@@ -34,3 +34,10 @@ def test_a_file_is_read_by_many_tasks(spark, small_splits, tmp_path):
     assert found.count() == 56 and spark.read.text(f"file://{tmp_path}/big.txt").rdd.getNumPartitions() > 50
     with pytest.raises(ValueError):
         chunk_files(spark, f"file://{tmp_path}/big.txt", 10, 10)
+
+
+def test_a_word_goes_to_python_without_its_path(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one two")
+    plan = chunk_files(spark, f"file://{tmp_path}/a.txt", 100, 10)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    sent = plan[next(i for i, line in enumerate(plan) if "MapInArrow" in line) + 1]
+    assert "value" in sent and "source" not in sent and "words" not in sent
