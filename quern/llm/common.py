@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete, durable, shared_dir
+from ..storage import delete, durable, scratch, shared_dir
 
-__all__ = ["WORD_GAP", "col", "delete", "durable", "lower_ascii", "packed", "read", "shared_dir", "small_enough", "unpacked", "words"]
+__all__ = ["WORD_GAP", "col", "delete", "durable", "lower_ascii", "packed", "read", "scratch", "shared_dir", "small_enough", "unpacked", "words"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Separators of the benchmark word rule, as a Java and an RE2 class: every ASCII character but digits and a-z.

@@ -27,7 +27,7 @@ there where no copy has an id; an empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, durable, packed, read, small_enough, unpacked
+from .common import col, durable, packed, read, scratch, small_enough, unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, TUPLE = 24, 2
@@ -290,15 +290,15 @@ def _verify(least: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b) but the roots: root is the smallest node it is connected to.
 
-    Large-star and small-star steps alternate until the edges are stars; each step is checkpointed.
+    Large-star and small-star steps alternate until the edges are stars; each step is computed by ``keep``.
     """
-    tidy = lambda e: durable(e.where("u > v").distinct())
+    tidy = lambda e: keep(e.where("u > v").distinct())
     e = tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
-        ends = durable(e.groupBy("u").agg(F.min("v").alias("v"), (F.min("v") < F.max("v")).alias("several")))
+        ends = keep(e.groupBy("u").agg(F.min("v").alias("v"), (F.min("v") < F.max("v")).alias("several")))
         # stars: everyone has one smaller neighbour, and that has none
         if ends.where("several").isEmpty() and ends.select("u").join(ends.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             return ends.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -345,9 +345,9 @@ def _with_text(pairs: DataFrame, side: str, texts: DataFrame, many: DataFrame) -
     return dealt.join(copies.select(F.col("id").alias(side), "salt", F.col("text").alias(f"text_{side}")), [side, "salt"]).drop("salt")
 
 
-def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """pairs: (a, b), computed. Those (a, b, similarity) that their texts' alignment confirms."""
-    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
+    needed = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
     side = F.broadcast(needed) if small_enough(needed, BROADCAST_IDS) else needed
     texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).join(side.select("id"), "id", "left_semi")
     many = needed.where("parts > 1")
@@ -356,11 +356,11 @@ def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a bigint, b bigint, similarity double")
 
 
-def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def open_rows(rows: DataFrame, roots: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """rows: (key, id, n), roots: (node, root, degree). (key, id, n, root, degree) of the members of buckets that hold several classes, computed."""
     rooted = rows.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    mixed = durable(rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("several"), F.count("*").alias("m")).where("several and m > 3").select("key"))
-    return durable(rooted.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"))
+    mixed = keep(rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("several"), F.count("*").alias("m")).where("several and m > 3").select("key"))
+    return keep(rooted.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"))
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,14 +439,14 @@ def member_texts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
     return docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).join(side, "id")
 
 
-def exact_pairs(texts: DataFrame, counts: np.ndarray, least: float = SIMILARITY) -> DataFrame:
+def exact_pairs(texts: DataFrame, counts: np.ndarray, least: float = SIMILARITY, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """texts: (id, root, text), counts: of their shingles' cells. Distinct pairs a < b of different roots, among them all whose shingles' similarity reaches ``least``.
 
     Prefix filter: shingles are ordered by rarity. Of two texts that reach ``least`` the longer one's first
     n - least * n + 1 and the shorter one's first n - 2 * least / (1 + least) * n + 1 have one in common, and at
     the first common one enough shingles are left on both sides. Texts of one root never meet.
     """
-    entries = durable(texts.select("id", "root", "text").mapInArrow(_prefixes(counts, least), "shingle bigint, id bigint, root bigint, n bigint, at bigint, short boolean"))
+    entries = keep(texts.select("id", "root", "text").mapInArrow(_prefixes(counts, least), "shingle bigint, id bigint, root bigint, n bigint, at bigint, short boolean"))
     shared = entries.groupBy("shingle").agg((F.min("root") < F.max("root")).alias("several"), F.max("short").alias("short")).where("several and short").select("shingle")
     sets = entries.join(shared, "shingle", "left_semi").groupBy("shingle", "root").agg(F.collect_list(F.struct("n", "id", "at", "short")).alias("members"))
     one = sets.select("shingle", F.col("root").alias("root_x"), F.explode(F.filter("members", lambda m: m.short)).alias("x"))
@@ -456,59 +456,62 @@ def exact_pairs(texts: DataFrame, counts: np.ndarray, least: float = SIMILARITY)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(roots: DataFrame, links: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """roots: (node, root), links: (a, b), both computed. The roots with the links, computed."""
     end = lambda c: links.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").select(*links.columns, F.coalesce(f"root_{c}", c).alias(f"of_{c}"))
     between = end("a").join(end("b"), ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    merged = durable(components(between))
+    with scratch(roots.sparkSession) as step:
+        merged = keep(components(between, step))
     of = merged.select(F.col("node").alias("root"), F.col("root").alias("now"))
     new = merged.join(roots.select("root").distinct().withColumnRenamed("root", "node"), "node", "left_anti")
-    return durable(roots.join(of, "root", "left").select("node", F.coalesce("now", "root").alias("root")).unionByName(new.select("node", "root")))
+    return keep(roots.join(of, "root", "left").select("node", F.coalesce("now", "root").alias("root")).unionByName(new.select("node", "root")))
 
 
-def _roots(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _roots(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """nodes: (id, n, sketch), computed. (node, root) of every linked node."""
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return durable(verified_links(durable(pairs), df, id_col, text_col).select("a", "b"))
+        return keep(verified_links(keep(pairs), df, id_col, text_col, keep=keep).select("a", "b"))
 
     def counted(roots: DataFrame, links: DataFrame) -> DataFrame:
         degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        return durable(degrees.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "degree"))
+        return keep(degrees.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "degree"))
 
     links = verified(candidate_pairs(bucket_rows(nodes)))
-    roots = counted(components(links), links)
-    rows, new = open_rows(bucket_rows(nodes), roots), None
+    with scratch(df.sparkSession) as step:
+        roots = counted(components(links, step), links)
+    rows, new = open_rows(bucket_rows(nodes), roots, keep), None
     for a_round in range(ROUNDS):
         if new is not None:
-            links = durable(links.unionByName(new))
-            roots = counted(_joined(roots, new), links)
-            rows = open_rows(rows, roots)
+            links = keep(links.unionByName(new))
+            roots = counted(_joined(roots, new, keep), links)
+            rows = open_rows(rows, roots, keep)
         new = verified(further_pairs(rows, -F.col("degree"), F.xxhash64("key", "id", F.lit(a_round))))
         if new.isEmpty():
             break
     # the last round's links join the classes together with those by rare shingles and of the exact join
-    members = durable(rows.select("id", "root").distinct())
+    members = keep(rows.select("id", "root").distinct())
     if not members.isEmpty():
         texts = member_texts(members, df, id_col, text_col)
         counts = _cell_counts(texts)
         by_hash = F.xxhash64("key", "id")
-        rare = further_pairs(durable(rare_rows(texts, counts)), by_hash, by_hash)
-        new = durable(new.unionByName(verified(rare.unionByName(exact_pairs(texts, counts)).distinct())).distinct())
-    return roots if new.isEmpty() else _joined(roots, new)
+        rare = further_pairs(keep(rare_rows(texts, counts)), by_hash, by_hash)
+        new = keep(new.unionByName(verified(rare.unionByName(exact_pairs(texts, counts, keep=keep)).distinct())).distinct())
+    return roots if new.isEmpty() else _joined(roots, new, keep)
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, rid, class_id, kept) per row, computed once."""
     docs = df.select(col(id_col).cast("bigint").alias("id"), _text_key(text_col).alias("text_key"), F.monotonically_increasing_id().alias("rid"), col(text_col).cast("string").alias("text"))
-    base = durable(docs.mapInArrow(_sketches, _SKETCH))
-    wordy = base.where("words_key is not null")
-    node = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
-    nodes = durable(wordy.groupBy("words_key").agg(node, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("words_key", F.col("first.id").alias("node"), F.col("first.rid").alias("first_rid"), "n", "sketch"))
-    roots = _roots(nodes.where("node is not null").select(F.col("node").alias("id"), "n", "sketch"), df, id_col, text_col).withColumnRenamed("node", "linked")
-    classes = durable(nodes.join(roots, F.col("node") == F.col("linked"), "left").select("words_key", "node", "first_rid", F.coalesce("root", "node").alias("class_id")))
-    grouped = wordy.join(classes, "words_key").select("id", "text_key", "rid", "class_id", (F.col("node").eqNullSafe(F.col("class_id")) & (F.col("rid") == F.col("first_rid"))).alias("kept"))
-    return grouped.unionByName(base.where("words_key is null").select("id", "text_key", "rid", F.col("id").alias("class_id"), F.lit(True).alias("kept")))
+    with scratch(df.sparkSession) as keep:
+        base = keep(docs.mapInArrow(_sketches, _SKETCH))
+        wordy = base.where("words_key is not null")
+        node = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
+        nodes = keep(wordy.groupBy("words_key").agg(node, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("words_key", F.col("first.id").alias("node"), F.col("first.rid").alias("first_rid"), "n", "sketch"))
+        roots = _roots(nodes.where("node is not null").select(F.col("node").alias("id"), "n", "sketch"), df, id_col, text_col, keep).withColumnRenamed("node", "linked")
+        classes = keep(nodes.join(roots, F.col("node") == F.col("linked"), "left").select("words_key", "node", "first_rid", F.coalesce("root", "node").alias("class_id")))
+        grouped = wordy.join(classes, "words_key").select("id", "text_key", "rid", "class_id", (F.col("node").eqNullSafe(F.col("class_id")) & (F.col("rid") == F.col("first_rid"))).alias("kept"))
+        return durable(grouped.unionByName(base.where("words_key is null").select("id", "text_key", "rid", F.col("id").alias("class_id"), F.lit(True).alias("kept"))))
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -518,7 +521,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns."""
-    found = durable(_classes(df, id_col, text_col))
+    found = _classes(df, id_col, text_col)
     key = ["id", "text_key"]
     states = found.groupBy(*key).agg(F.max(F.col("kept").cast("int")).alias("k"), F.count("*").alias("n"))
     odd = durable(states.where("k = 0 or n > 1").withColumn("found", F.lit(True)))

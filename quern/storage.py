@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +36,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that computes a table once, as Parquet in the shared folder. All files go at the end of the block: what it gives has to be computed by then.
+
+    For steps with many small tables: a scan packs small files into few tasks, where a checkpoint has a task for each
+    partition, and the files don't wait for the driver to collect its garbage.
+    """
+    folder = f"{shared_dir(spark)}/quern-scratch-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        delete(spark, folder)
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -1,12 +1,15 @@
+import os
 import random
 import re
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from quern.llm.near_dedup import SHINGLE, SIMILARITY, Tokens, _word_lists, components, drop_near_duplicates, near_duplicate_classes, shingles, similarity
+from quern.storage import durable, shared_dir
 
 SCHEMA = "doc_id long, text string, class_id string, n int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -198,3 +201,24 @@ def test_recall_on_a_whole_table(spark):
     linked = [i for i in want if want[i] != i]
     assert sum(found[i] == found[want[i]] for i in linked) >= 0.9 * len(linked)
     assert all(want[i] == want[found[i]] for i in found)
+
+
+def test_what_is_kept_between_the_steps_is_few_files_and_goes_with_the_result(spark):
+    texts = [" ".join(f"w{j}x{i // 3 if j != i % 40 else 100 + i}" for j in range(60)) for i in range(30)]
+    df = spark.createDataFrame([(i, t, "c", 0) for i, t in enumerate(texts)], SCHEMA)
+    durable(spark.range(1))  # names the folder where a session has none
+    folders = {urlparse(x).path for x in (shared_dir(spark), spark.sparkContext._jsc.sc().getCheckpointDir().get())}
+    files = lambda: sum(len(names) for folder in folders for _, _, names in os.walk(folder))
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        at = files()
+        found = near_duplicate_classes(df)
+        assert files() - at < 4 * 32  # the result alone; all steps' checkpoints would be over 1,000
+        assert found.count() == 30 and len({r.class_id for r in found.collect()}) == len({i // 3 for i in range(30)})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert not [name for folder in folders for name in os.listdir(folder) if "scratch" in name]
